@@ -35,8 +35,12 @@ def hourly_mean(df: DataFrame, timestamp_column: str, value_column: str) -> Data
     return df.groupBy(hour).agg(F.avg(value_column).alias("value"))
 
 
-def replay(observations_table: DataFrame, streams: DataFrame, name: str) -> DataFrame:
-    """Stored values of one named stream, read back out of their JSON payload."""
-    wanted = streams.where(F.col("name") == name).select("stream_id")
+def replay(
+    observations_table: DataFrame, streams: DataFrame, name: str | None = None
+) -> DataFrame:
+    """Stored values read back out of their JSON payload, of one named stream or of all."""
+    wanted = streams.select("stream_id", F.col("name").alias("stream_name"))
+    if name is not None:
+        wanted = wanted.where(F.col("stream_name") == name)
     value = F.get_json_object("payload", "$.value").cast("double").alias("value")
-    return observations_table.join(wanted, "stream_id", "left_semi").select("observed_at", value)
+    return observations_table.join(wanted, "stream_id").select("stream_name", "observed_at", value)
