@@ -240,8 +240,8 @@ _SQL = {
           order by finished_at desc nulls last, started_at desc, run_id desc) as r from ev
           where status = 'completed') z where r = 1""",
     "runs_newest": RUNS
-    + """select run_id, run_type, status, started_at, finished_at, null::bigint as observations_scored,
-          alerts_created, row_count as records_written from ev
+    + """select run_id, run_type, status, started_at, finished_at, (-1)::bigint as observations_scored,
+          coalesce(alerts_created, -1) as alerts_created, row_count as records_written from ev
           where o_custkey = (select o_custkey from orders group by 1 order by count(*) desc, 1 limit 1)
           order by started_at desc, run_id limit 20""",
     "streams_current": """

@@ -21,7 +21,7 @@ from tidewatch.config import (
 from tidewatch.functions.hashing import row_fingerprint, stream_id
 from tidewatch.functions.scoring import min_max
 from tidewatch.functions.times import coerce_utc, iso_utc
-from tidewatch.operators.ensemble import Scored, score_bounds, score_ensemble, scores_long
+from tidewatch.operators.ensemble import Scored, score_ensemble, scores_long, with_score_bounds
 from tidewatch.operators.forest import ForestDetector
 from tidewatch.operators.inject import (
     baseline_value,
@@ -30,7 +30,7 @@ from tidewatch.operators.inject import (
     sample_value,
     select_indices,
 )
-from tidewatch.operators.mad import MadDetector, mad_fit
+from tidewatch.operators.mad import MadDetector
 from tidewatch.operators.metrics import (
     classification_counts,
     false_positives_per_hour,
@@ -41,10 +41,10 @@ from tidewatch.operators.order_stats import order_statistics, percentile_rank, r
 from tidewatch.operators.split import (
     Series,
     fit_split,
-    measure,
     rank_targets,
     series_sizes,
     too_short,
+    whole_series,
 )
 from tidewatch.plans import reports
 from tidewatch.plans.detect import detect, latest_ingestion_runs
@@ -248,8 +248,8 @@ def split_invalid_rows(spark, sf_dir):
 @query
 def csv_source(spark, sf_dir):
     path = scratch(spark, "events-csv")
-    table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value").write.option(
-        "header", True
+    table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value").write.options(
+        header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     ).csv(path)
     config = FileSourceConfig("events", path=path, timestamp_column="ts", value_column="value")
     return build_source(spark, config).select(
@@ -534,7 +534,8 @@ def runs_newest(spark, sf_dir):
         .first()
     )
     runs = tables.latest_runs(order_runs(spark, sf_dir))
-    return reports.list_runs(runs, str(busiest["o_custkey"]), 20).drop("metadata")
+    listed = reports.list_runs(runs, str(busiest["o_custkey"]), 20).drop("metadata")
+    return listed.fillna(-1, ["observations_scored", "alerts_created"])
 
 
 @query
@@ -600,7 +601,7 @@ def short_series(spark, sf_dir):
 @query
 def floor_percentile(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    sizes = series_sizes(orders, ["o_orderpriority"])
+    sizes = settle(series_sizes(orders, ["o_orderpriority"]))
     targets = rank_targets(sizes, ["o_orderpriority"], {"p95": percentile_rank(F.col("n"), 95.0)})
     found = order_statistics(orders, ["o_orderpriority"], ["o_totalprice"], targets)
     return found.select("o_orderpriority", F.col("o_totalprice").alias("p95"))
@@ -625,7 +626,7 @@ def mad_flags(spark, sf_dir):
     """Robust z-score and flag of every event."""
     series = split_events(spark, sf_dir)
     detector = TWO_MADS[0]
-    scored = detector.score(series, detector.fit(series))
+    scored, _ = detector.fit_and_score(series)
     return scored.select(
         "stream",
         "event_id",
@@ -640,7 +641,7 @@ def mad_by_user(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "event_id", "ts", "value")
     series = fit_split(rows, ["user_id"], ["ts", "event_id"])
     detector = MadDetector("mad", "value")
-    scored = detector.score(series, detector.fit(series))
+    scored, _ = detector.fit_and_score(series)
     return scored.select(
         "user_id", "event_id", F.round("score__mad", 6).alias("score"), F.col("flag__mad").alias("is_anomaly")
     )
@@ -653,7 +654,7 @@ def mad_lineitem(spark, sf_dir):
         "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_extendedprice"
     )
     keys = ["l_returnflag", "l_linestatus"]
-    model = mad_fit(rows, keys, "l_extendedprice", measure(series_sizes(rows, keys)))
+    model = MadDetector("mad", "l_extendedprice").fit(whole_series(rows, keys))
     return model.select(*keys, *[F.round(c, 6).alias(c) for c in ("median", "mad", "threshold")])
 
 
@@ -662,10 +663,10 @@ def min_max_scores(spark, sf_dir):
     """Fit bounds of a score, and the score scaled to them."""
     series = split_events(spark, sf_dir)
     detector = TWO_MADS[0]
-    scored = series.with_rows(detector.score(series, detector.fit(series)))
-    bounds = score_bounds(scored.fit_rows, ["stream"], ["mad_value"])
+    scored, _ = detector.fit_and_score(series)
+    bounded = with_score_bounds(series.with_rows(scored), ["mad_value"])
     scaled = min_max(F.col("score__mad_value"), F.col("low__mad_value"), F.col("high__mad_value"))
-    return scored.rows.join(bounds, "stream").select("event_id", F.round(scaled, 6).alias("scaled"))
+    return bounded.rows.select("event_id", F.round(scaled, 6).alias("scaled"))
 
 
 @query
@@ -780,7 +781,7 @@ def alerts_current(spark, sf_dir):
 def explain_mad_values(spark, sf_dir):
     series = split_events(spark, sf_dir)
     detector = TWO_MADS[0]
-    flagged = detector.score(series, detector.fit(series)).where("flag__mad_value")
+    flagged = detector.fit_and_score(series)[0].where("flag__mad_value")
     part = flagged.select("event_id", explain_mad(detector).alias("part"))
     detail = F.col("part")["details"]
     return part.select(
@@ -899,7 +900,7 @@ def flag_quality(spark, sf_dir):
     """MAD flags against the hours after a user's error."""
     series = split_events(spark, sf_dir)
     detector = TWO_MADS[0]
-    flags = detector.score(series, detector.fit(series)).select(
+    flags = detector.fit_and_score(series)[0].select(
         "event_id", "stream", F.col("flag__mad_value").alias("flag")
     )
     rated = flags.join(label_windows(spark, sf_dir), "event_id")
@@ -916,7 +917,7 @@ def flag_sets(spark, sf_dir):
     """The same counts from two sets of ids."""
     series = split_events(spark, sf_dir)
     detector = TWO_MADS[0]
-    found = detector.score(series, detector.fit(series)).where("flag__mad_value")
+    found = detector.fit_and_score(series)[0].where("flag__mad_value")
     truth = label_windows(spark, sf_dir).where("label = 1")
     return set_counts(truth, found, ["event_id"])
 
@@ -929,7 +930,7 @@ def label_quality(spark, sf_dir):
     )
     series = fit_split(documents, ["lang"], ["doc_id"])
     detector = MadDetector("mad", "n_chars")
-    flags = detector.score(series, detector.fit(series)).select("doc_id", F.col("flag__mad").alias("flag"))
+    flags = detector.fit_and_score(series)[0].select("doc_id", F.col("flag__mad").alias("flag"))
     rated = flags.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
     counts = precision_recall_f1(classification_counts(rated, "toxic", "flag"))
     return counts.select(

@@ -9,29 +9,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scoring import min_max, normalize_weights, weighted_sum
-from tidewatch.operators.order_stats import order_statistics, percentile_rank
+from tidewatch.operators.order_stats import percentile_rank
 from tidewatch.operators.registry import Detector
-from tidewatch.operators.split import Series, rank_targets
-from tidewatch.session import settle
+from tidewatch.operators.split import Series
 
 
-def score_bounds(scored_fit_rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Settled smallest and largest fit score of each detector, one row per series."""
-    return settle(
-        scored_fit_rows.groupBy(*keys).agg(
-            *[F.min(f"fit_score__{n}").alias(f"low__{n}") for n in names],
-            *[F.max(f"fit_score__{n}").alias(f"high__{n}") for n in names],
-        )
-    )
+def fit_and_score(detector: Detector, series: Series) -> tuple[DataFrame, DataFrame | None]:
+    """Scored rows and model of one detector, in a single pass where the detector can."""
+    if hasattr(detector, "fit_and_score"):
+        return detector.fit_and_score(series)
+    model = detector.fit(series)
+    return detector.score(series, model), model
+
+
+def with_score_bounds(series: Series, names: Sequence[str]) -> Series:
+    """Attach the smallest and largest fit score of each detector."""
+    bounds: dict[str, Column] = {}
+    for name in names:
+        score = F.when(F.col("is_fit"), F.col(f"fit_score__{name}"))
+        bounds |= {f"low__{name}": F.min(score), f"high__{name}": F.max(score)}
+    return series.with_aggregates(bounds)
 
 
 @dataclass(frozen=True)
 class Scored:
-    """Every row with its detector scores, ``ensemble`` and ``is_anomaly``, and what was fitted."""
+    """Every row with its detector scores, ``ensemble``, ``threshold`` and ``is_anomaly``, and the
+    model tables of the detectors that have one."""
 
     rows: DataFrame
-    models: dict[str, DataFrame]
-    thresholds: DataFrame
+    models: dict[str, DataFrame | None]
 
 
 def score_ensemble(
@@ -42,44 +48,37 @@ def score_ensemble(
 ) -> Scored:
     """Fit each detector on the fit windows and score all rows of all series.
 
-    Adds ``score__``, ``fit_score__`` and ``flag__`` per detector, the combined ``ensemble`` score
-    and ``is_anomaly``, which is true strictly above the floor percentile of the combined fit scores.
+    Adds ``score__``, ``fit_score__`` and ``flag__`` per detector, the combined ``ensemble`` score,
+    its ``threshold`` (the floor percentile of the combined fit scores) and ``is_anomaly``, which is
+    true strictly above it.
     """
     if not detectors:
         raise ValueError("At least one detector is required")
-    keys = list(series.keys)
     names = [d.name for d in detectors]
     weights = normalize_weights(weights)
 
-    models: dict[str, DataFrame] = {}
+    models: dict[str, DataFrame | None] = {}
     scored = series
     for detector in detectors:
-        models[detector.name] = detector.fit(series)
-        scored = scored.with_rows(detector.score(scored, models[detector.name]))
-
-    bounds = score_bounds(scored.fit_rows, keys, names)
-    bounded = scored.rows.join(bounds, keys)
+        rows, models[detector.name] = fit_and_score(detector, scored)
+        scored = scored.with_rows(rows)
+    bounded = with_score_bounds(scored, names)
 
     def combined(prefix: str) -> Column:
         parts = [min_max(F.col(f"{prefix}{n}"), F.col(f"low__{n}"), F.col(f"high__{n}")) for n in names]
         return weighted_sum(parts, weights)
 
-    fit_scores = bounded.where("is_fit").select(*keys, combined("fit_score__").alias("combined"))
-    targets = rank_targets(
-        series.fit.table, keys, {"threshold": percentile_rank(F.col("n"), percentile)}
-    )
-    thresholds = settle(
-        order_statistics(fit_scores, keys, ["combined"], targets, series.fit.largest).select(
-            *keys, F.col("combined").alias("threshold")
+    both = bounded.with_rows(
+        bounded.rows.withColumns(
+            {"ensemble": combined("score__"), "fit_ensemble": combined("fit_score__")}
         )
     )
-    rows = (
-        bounded.withColumn("ensemble", combined("score__"))
-        .join(thresholds, keys)
-        .withColumn("is_anomaly", F.col("ensemble") > F.col("threshold"))
-        .drop(*[f"low__{n}" for n in names], *[f"high__{n}" for n in names])
+    ranks = {"threshold": percentile_rank(F.col("n"), percentile)}
+    calibrated = both.with_fit_ranks("fit_ensemble", ranks)
+    rows = calibrated.rows.withColumn("is_anomaly", F.col("ensemble") > F.col("threshold")).drop(
+        "fit_ensemble", *[f"low__{n}" for n in names], *[f"high__{n}" for n in names]
     )
-    return Scored(rows, models, thresholds)
+    return Scored(rows, models)
 
 
 def scores_long(scored: DataFrame, ids: Sequence[str], names: Sequence[str]) -> DataFrame:

@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.scoring import min_max
-from tidewatch.operators.order_stats import order_statistics
-from tidewatch.operators.split import Series, Sizes, rank_targets, spread
+from tidewatch.operators.split import Series
 from tidewatch.session import settle
 
 TREES = 100
@@ -46,6 +45,7 @@ _NODES = [
     T.StructField("right", T.ArrayType(T.IntegerType())),
     T.StructField("path", T.ArrayType(T.DoubleType())),
     T.StructField("subsample", T.IntegerType()),
+    T.StructField("n", T.LongType()),
 ]
 
 
@@ -128,28 +128,24 @@ def _unit(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)
 
 
-def tree_samples(
-    fit_rows: DataFrame,
-    keys: Sequence[str],
-    row_id: str,
-    features: Sequence[str],
-    sizes: Sizes,
-    seed: int,
-) -> DataFrame:
-    """``min(256, n)`` rows without replacement for each tree of each series.
+def tree_samples(series: Series, features: Sequence[str], seed: int) -> DataFrame:
+    """``min(256, n)`` fit rows without replacement for each tree of each series.
 
     A hash of the row first thins a long series to a pool, so the per-tree draws are made for a
     bounded number of rows per series however long it is.
     """
-    keys = list(keys)
-    drawn = F.xxhash64(F.lit(seed), *keys, F.col(row_id))
+    keys, row_id = list(series.keys), series.order[-1]
     pool_rate = F.lit(float(POOL_ROWS)) / F.col("n")
     pool_rows = F.least(F.col("n"), F.lit(POOL_ROWS))
     tree_rate = F.lit(1.5 * SUBSAMPLE) / pool_rows
     pool = (
-        fit_rows.select(*keys, row_id, F.array(*[F.col(f) for f in features]).alias("point"))
-        .join(sizes.table.select(*keys, "n"), keys)
-        .withColumn("drawn", drawn)
+        series.fit_rows.select(
+            *keys,
+            row_id,
+            "n",
+            F.array(*[F.col(f) for f in features]).alias("point"),
+            F.xxhash64(F.lit(seed), *keys, F.col(row_id)).alias("drawn"),
+        )
         .where(_unit(F.col("drawn")) < pool_rate)
     )
 
@@ -159,8 +155,8 @@ def tree_samples(
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda tree: _unit(ticket(tree)) < tree_rate
     )
-    spark = fit_rows.sparkSession
-    groups = sizes.series * math.ceil(TREES / TREES_PER_GROUP)
+    spark = series.rows.sparkSession
+    groups = series.count * math.ceil(TREES / TREES_PER_GROUP)
     tasks = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # The window and the tree building that follows share this one shuffle.
     window = Window.partitionBy(*keys, "block", "tree").orderBy("ticket", row_id)
@@ -175,17 +171,10 @@ def tree_samples(
     )
 
 
-def fit_forest(
-    fit_rows: DataFrame,
-    keys: Sequence[str],
-    row_id: str,
-    features: Sequence[str],
-    sizes: Sizes,
-    seed: int = 42,
-) -> DataFrame:
+def fit_forest(series: Series, features: Sequence[str], seed: int = 42) -> DataFrame:
     """Settled forest: one row of node arrays per series and tree."""
-    keys = list(keys)
-    samples = tree_samples(fit_rows, keys, row_id, features, sizes, seed)
+    keys = list(series.keys)
+    samples = tree_samples(series, features, seed)
     key_fields = [samples.schema[k] for k in keys]
     schema = T.StructType([*key_fields, *_NODES])
 
@@ -199,8 +188,9 @@ def fit_forest(
             points = np.array(rows["point"].tolist(), dtype=np.float64)
             limit = math.ceil(math.log2(max(len(points), 2)))
             nodes = build_tree(points, np.random.default_rng(draws), limit)
-            size = int(min(SUBSAMPLE, rows["n"].iloc[0]))
-            grown.append([*key, int(tree), *[nodes[f.name] for f in _NODES[1:6]], size])
+            n = int(rows["n"].iloc[0])
+            arrays = [nodes[f.name] for f in _NODES[1:6]]
+            grown.append([*key, int(tree), *arrays, min(SUBSAMPLE, n), n])
         return pd.DataFrame(grown, columns=schema.names)
 
     return settle(samples.groupBy(*keys, "block").applyInPandas(grow, schema))
@@ -274,21 +264,16 @@ class _Trees:
 
 
 def score_forest(
-    df: DataFrame,
-    keys: Sequence[str],
-    row_id: str,
-    forest: DataFrame,
-    sizes: Sizes,
-    outputs: Mapping[str, Sequence[str]],
+    df: DataFrame, series: Series, forest: DataFrame, outputs: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """Add sample scores (in [-1, 0), lower is more anomalous).
+    """Add sample scores (in [-1, 0), lower is more anomalous) to rows of ``series``.
 
     ``outputs`` maps each new column to the feature columns it scores.
     """
-    keys = list(keys)
-    if sizes.series <= BROADCAST_SERIES:
+    keys = list(series.keys)
+    if series.count <= BROADCAST_SERIES:
         return _score_with_broadcast(df, keys, forest, outputs)
-    return _score_with_cogroup(df, keys, row_id, forest, sizes, outputs)
+    return _score_with_cogroup(df, keys, series.order[-1], forest, outputs)
 
 
 def _score_with_broadcast(
@@ -330,21 +315,12 @@ def _score_with_cogroup(
     keys: list[str],
     row_id: str,
     forest: DataFrame,
-    sizes: Sizes,
     outputs: Mapping[str, Sequence[str]],
 ) -> DataFrame:
     """Join rows and forests by series; a long series is cut into salted groups of bounded size."""
-    salts = sizes.table.select(*keys, F.ceil(F.col("n") / ROWS_PER_GROUP).alias("salts"))
-    rows = (
-        df.join(salts, keys)
-        .withColumn("salt", F.pmod(F.xxhash64(F.col(row_id)), F.col("salts")))
-        .drop("salts")
-    )
-    trees = (
-        forest.join(salts, keys)
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
-        .drop("salts")
-    )
+    salts = F.ceil(F.col("n") / ROWS_PER_GROUP)
+    rows = df.withColumn("salt", F.pmod(F.xxhash64(F.col(row_id)), salts))
+    trees = forest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
     wanted = {output: list(features) for output, features in outputs.items()}
     kept = df.columns
     schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in wanted]])
@@ -364,23 +340,16 @@ def _score_with_cogroup(
     return rows.groupBy(*by).cogroup(trees.groupBy(*by)).applyInArrow(score, schema)
 
 
-def contamination_offset(
-    fit_scores: DataFrame, keys: Sequence[str], score: str, sizes: Sizes, contamination: float
-) -> DataFrame:
-    """Settled ``offset`` per series: the linearly interpolated quantile of the fit scores."""
-    keys = list(keys)
-    position = (F.col("n") - 1).cast("double") * F.lit(float(contamination))
-    below = F.floor(position)
-    targets = rank_targets(
-        sizes.table, keys, {"below": below, "above": F.least(below + 1, F.col("n") - 1)}
-    )
-    found = order_statistics(fit_scores, keys, [score], targets, sizes.largest)
-    step = (position - below) * (F.col("above") - F.col("below"))
-    return settle(
-        spread(found, keys, score, ["below", "above"])
-        .join(sizes.table, keys)
-        .select(*keys, (F.col("below") + step).alias("offset"))
-    )
+def with_contamination_offset(series: Series, score: str, contamination: float) -> Series:
+    """Attach ``offset``: the linearly interpolated quantile of the fit scores."""
+    n = F.col("n")
+    position = (n - 1).cast("double") * F.lit(float(contamination))
+    lower = F.floor(position)
+    ranks = {"lower": lower, "upper": F.least(lower + 1, n - 1)}
+    found = series.with_fit_ranks(score, ranks)
+    step = (position - lower) * (F.col("upper") - F.col("lower"))
+    rows = found.rows.withColumn("offset", F.col("lower") + step).drop("lower", "upper")
+    return series.with_rows(rows)
 
 
 @dataclass(frozen=True)
@@ -393,50 +362,33 @@ class ForestDetector:
     random_state: int = 42
 
     def fit(self, series: Series) -> DataFrame:
-        return fit_forest(
-            series.fit_rows,
-            series.keys,
-            series.order[-1],
-            self.feature_keys,
-            series.fit,
-            self.random_state,
-        )
+        """Settled forest, see ``fit_forest``."""
+        return fit_forest(series, self.feature_keys, self.random_state)
 
     def score(self, series: Series, model: DataFrame) -> DataFrame:
         """Add the detector's score, its score within the fit window and its flag.
 
         The score is the anomaly score scaled to the batch at hand: all rows for ``score__``, the
-        fit rows for ``fit_score__``. The Python scores are written once and read by both passes.
+        fit rows for ``fit_score__``. The Python scores are written once and read by later passes.
         """
-        keys = list(series.keys)
         sample = f"sample__{self.name}"
-        scored = settle(
-            score_forest(
-                series.rows, keys, series.order[-1], model, series.fit, {sample: self.feature_keys}
-            )
-        )
-        offsets = contamination_offset(
-            scored.where("is_fit"), keys, sample, series.fit, self.contamination
-        )
+        scored = settle(score_forest(series.rows, series, model, {sample: self.feature_keys}))
+        offset = with_contamination_offset(series.with_rows(scored), sample, self.contamination)
         fit_only = F.when(F.col("is_fit"), F.col(sample))
-        bounds = settle(
-            scored.groupBy(*keys)
-            .agg(
-                F.min(sample).alias("low"),
-                F.max(sample).alias("high"),
-                F.min(fit_only).alias("fit_low"),
-                F.max(fit_only).alias("fit_high"),
-            )
-            .join(offsets, keys)
+        bounded = offset.with_aggregates(
+            {
+                "low": F.min(sample),
+                "high": F.max(sample),
+                "fit_low": F.min(fit_only),
+                "fit_high": F.max(fit_only),
+            }
         )
-        bound = F.struct("low", "high", "fit_low", "fit_high", "offset")
-        packed = bounds.select(*keys, bound.alias(f"model__{self.name}"))
-        model_of = F.col(f"model__{self.name}")
         # Scores are turned round so that higher means more anomalous.
         raw = -F.col(sample)
-        return (
-            scored.join(packed, keys)
-            .withColumn(f"score__{self.name}", min_max(raw, -model_of.high, -model_of.low))
-            .withColumn(f"fit_score__{self.name}", min_max(raw, -model_of.fit_high, -model_of.fit_low))
-            .withColumn(f"flag__{self.name}", F.col(sample) - model_of.offset < 0)
-        )
+        return bounded.rows.withColumns(
+            {
+                f"score__{self.name}": min_max(raw, -F.col("high"), -F.col("low")),
+                f"fit_score__{self.name}": min_max(raw, -F.col("fit_high"), -F.col("fit_low")),
+                f"flag__{self.name}": F.col(sample) - F.col("offset") < 0,
+            }
+        ).drop("low", "high", "fit_low", "fit_high", "offset")

@@ -2,60 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scoring import MAD_FLOOR, MAD_SCALE, robust_z
-from tidewatch.operators.order_stats import order_statistics, percentile_rank
-from tidewatch.operators.split import Series, Sizes, rank_targets, spread
+from tidewatch.operators.order_stats import percentile_rank
+from tidewatch.operators.split import Series
 from tidewatch.session import settle
 
 
-def mad_fit(
-    fit_rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    sizes: Sizes,
-    percentile: float = 95.0,
-    floor: float = MAD_FLOOR,
-) -> DataFrame:
-    """Settled ``median``, ``mad`` and ``threshold`` per series.
+def with_mad(
+    series: Series, value: str, model: str, percentile: float = 95.0, floor: float = MAD_FLOOR
+) -> Series:
+    """Attach ``model``: the ``median``, ``mad`` and ``threshold`` of the fit window, as a struct.
 
-    The score grows with the deviation, so one set of
-    deviation ranks gives both the MAD and the threshold.
+    The score grows with the deviation, so one set of deviation ranks gives both the MAD and the
+    threshold.
     """
-    keys = list(keys)
     n = F.col("n")
-    lower, upper = F.floor((n - 1) / 2), F.floor(n / 2)
-    middle = rank_targets(sizes.table, keys, {"lower": lower, "upper": upper})
-    values = order_statistics(fit_rows, keys, [value], middle, sizes.largest)
-    medians = settle(
-        spread(values, keys, value, ["lower", "upper"]).select(
-            *keys, ((F.col("lower") + F.col("upper")) / 2).alias("median")
-        )
-    )
-
-    deviations = fit_rows.join(medians, keys).select(
-        *keys, F.abs(F.col(value) - F.col("median")).alias("deviation")
+    middle = {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2)}
+    half: Column = (F.col("lower") + F.col("upper")) / 2
+    centered = series.with_fit_ranks(value, middle)
+    rows = centered.rows.withColumn("median", half).drop("lower", "upper")
+    rows = rows.withColumn("deviation", F.abs(F.col(value) - F.col("median")))
+    spread = series.with_rows(rows).with_fit_ranks(
+        "deviation", {**middle, "top": percentile_rank(n, percentile)}
     )
-    wanted = rank_targets(
-        sizes.table, keys, {"lower": lower, "upper": upper, "top": percentile_rank(n, percentile)}
-    )
-    found = order_statistics(deviations, keys, ["deviation"], wanted, sizes.largest)
-    mad = F.greatest((F.col("lower") + F.col("upper")) / 2, F.lit(floor))
-    return settle(
-        spread(found, keys, "deviation", ["lower", "upper", "top"])
-        .join(medians, keys)
-        .select(*keys, "median", mad.alias("mad"), "top")
-        .select(
-            *keys,
-            "median",
-            "mad",
-            (F.col("top") / (F.lit(MAD_SCALE) * F.col("mad"))).alias("threshold"),
-        )
+    rows = spread.rows.withColumn("mad", F.greatest(half, F.lit(floor)))
+    threshold = F.col("top") / (F.lit(MAD_SCALE) * F.col("mad"))
+    parts = F.struct("median", "mad", threshold.alias("threshold"))
+    return series.with_rows(
+        rows.withColumn(model, parts).drop("lower", "upper", "top", "deviation", "median", "mad")
     )
 
 
@@ -72,19 +51,30 @@ class MadDetector:
         return (self.value_key,)
 
     def fit(self, series: Series) -> DataFrame:
-        return mad_fit(series.fit_rows, series.keys, self.value_key, series.fit, self.percentile)
+        """Settled ``median``, ``mad`` and ``threshold`` per series."""
+        fitted = with_mad(series, self.value_key, "model", self.percentile)
+        model = F.any_value("model").alias("model")
+        return settle(
+            fitted.rows.groupBy(*series.keys).agg(model).select(*series.keys, "model.*")
+        )
 
     def score(self, series: Series, model: DataFrame) -> DataFrame:
         """Add the detector's score, its score within the fit window and its flag."""
-        model = model.select(
-            *series.keys,
-            F.struct("median", "mad", "threshold").alias(f"model__{self.name}"),
-        )
-        params = F.col(f"model__{self.name}")
-        z = robust_z(F.col(self.value_key), params.median, params.mad)
-        return (
-            series.rows.join(model, list(series.keys))
-            .withColumn(f"score__{self.name}", z)
-            .withColumn(f"fit_score__{self.name}", z)
-            .withColumn(f"flag__{self.name}", z > params.threshold)
+        packed = F.struct("median", "mad", "threshold").alias(f"model__{self.name}")
+        return self._scored(series.rows.join(model.select(*series.keys, packed), list(series.keys)))
+
+    def fit_and_score(self, series: Series) -> tuple[DataFrame, None]:
+        """Both in the same pass, without a model table in between."""
+        fitted = with_mad(series, self.value_key, f"model__{self.name}", self.percentile)
+        return self._scored(fitted.rows), None
+
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        model = F.col(f"model__{self.name}")
+        z = robust_z(F.col(self.value_key), model.median, model.mad)
+        return rows.withColumns(
+            {
+                f"score__{self.name}": z,
+                f"fit_score__{self.name}": z,
+                f"flag__{self.name}": z > model.threshold,
+            }
         )

@@ -1,13 +1,20 @@
-"""Series sizes and the fit / evaluation split by time."""
+"""Series with a fit window, and statistics of a series attached to its rows.
+
+There are two ways to attach. While every series is short enough to be sorted in one task, window
+functions over the series key do it: all statistics of all detectors then share a single shuffle.
+As soon as one series is longer, statistics are computed as small tables by ``order_statistics`` and
+plain aggregation, which spread a long series over all tasks, and are joined to the rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import order_stats
 from tidewatch.operators.order_stats import order_statistics
 from tidewatch.session import settle
 
@@ -16,8 +23,19 @@ MIN_ROWS = 10
 
 
 def series_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Settled row count ``n`` per series."""
-    return settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    """Row count ``n`` per series."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def too_short(sizes: DataFrame) -> DataFrame:
+    """Series with fewer observations than detection needs."""
+    return sizes.where(F.col("n") < MIN_ROWS)
+
+
+def fit_count(n: Column, fit_ratio: float) -> Column:
+    """Rows of the fit window; the product is taken in doubles and truncated."""
+    wanted = F.floor(n.cast("double") * F.lit(float(fit_ratio))).cast("bigint")
+    return F.least(F.greatest(wanted, F.lit(MIN_ROWS)), n - 1)
 
 
 def rank_targets(sizes: DataFrame, keys: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
@@ -31,46 +49,21 @@ def rank_targets(sizes: DataFrame, keys: Sequence[str], ranks: Mapping[str, Colu
     return sizes.select(*keys, "n", F.explode(wanted).alias("t")).select(*keys, "n", "t.*")
 
 
-def spread(stats: DataFrame, keys: Sequence[str], value: str, names: Sequence[str]) -> DataFrame:
-    """One row per series with a column for each named statistic."""
-    return stats.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("stat") == name, F.col(value))).alias(name) for name in names]
-    )
-
-
-def fit_count(n: Column, fit_ratio: float) -> Column:
-    """Rows of the fit prefix; the product is taken in doubles and truncated."""
-    wanted = F.floor(n.cast("double") * F.lit(float(fit_ratio))).cast("bigint")
-    return F.least(F.greatest(wanted, F.lit(MIN_ROWS)), n - 1)
-
-
-def too_short(sizes: DataFrame) -> DataFrame:
-    """Series with fewer observations than detection needs."""
-    return sizes.where(F.col("n") < MIN_ROWS)
-
-
-@dataclass(frozen=True)
-class Sizes:
-    """Settled rows per series as ``n``, with the number of series and the largest ``n``."""
-
-    table: DataFrame
-    series: int
-    largest: int
-
-
-def measure(table: DataFrame) -> Sizes:
-    top = table.agg(F.count(F.lit(1)), F.max("n")).first()
-    return Sizes(table, top[0], top[1] or 0)
-
-
 @dataclass(frozen=True)
 class Series:
-    """Rows of many series with ``is_fit``, and the sizes of their fit windows."""
+    """Rows of many series: every row has ``is_fit`` and ``n``, the rows of its fit window."""
 
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    fit: Sizes
+    count: int
+    largest: int
+    fit_sizes: DataFrame | None = None
+
+    @property
+    def compact(self) -> bool:
+        """Every series can be sorted in one task."""
+        return self.largest <= order_stats.SORTABLE_ROWS
 
     @property
     def fit_rows(self) -> DataFrame:
@@ -79,35 +72,84 @@ class Series:
     def with_rows(self, rows: DataFrame) -> Series:
         return replace(self, rows=rows)
 
+    def with_aggregates(self, aggregates: Mapping[str, Column]) -> Series:
+        """Attach aggregates over all rows of the series as columns."""
+        if self.compact:
+            whole = Window.partitionBy(*self.keys)
+            return self.with_rows(
+                self.rows.withColumns({name: a.over(whole) for name, a in aggregates.items()})
+            )
+        named = [aggregate.alias(name) for name, aggregate in aggregates.items()]
+        return self._joined(self.rows.groupBy(*self.keys).agg(*named))
+
+    def with_fit_ranks(self, value: str, ranks: Mapping[str, Column]) -> Series:
+        """Attach the values that have the given ranks among the fit rows.
+
+        Rank expressions may use ``n``. Each result column is named after its rank.
+        """
+        if self.compact:
+            among = Window.partitionBy(*self.keys, "is_fit").orderBy(value)
+            placed = self.with_rows(
+                self.rows.withColumn("place", (F.row_number().over(among) - 1).cast("bigint"))
+            )
+            picked = {
+                name: F.max(F.when(F.col("is_fit") & (F.col("place") == rank), F.col(value)))
+                for name, rank in ranks.items()
+            }
+            attached = placed.with_aggregates(picked)
+            return attached.with_rows(attached.rows.drop("place"))
+        targets = rank_targets(self.fit_sizes, self.keys, ranks)
+        found = order_statistics(self.fit_rows, self.keys, [value], targets, self.largest)
+        wide = found.groupBy(*self.keys).agg(
+            *[F.max(F.when(F.col("stat") == name, F.col(value))).alias(name) for name in ranks]
+        )
+        return self._joined(wide)
+
+    def _joined(self, table: DataFrame) -> Series:
+        return self.with_rows(self.rows.join(settle(table), list(self.keys)))
+
+
+def whole_series(df: DataFrame, keys: Sequence[str]) -> Series:
+    """Series whose fit window is everything."""
+    sizes = series_sizes(df, keys)
+    count, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+    if (largest or 0) <= order_stats.SORTABLE_ROWS:
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        rows = df.withColumn("n", n).withColumn("is_fit", F.lit(True))
+        return Series(rows, tuple(keys), (), count, largest or 0)
+    sizes = settle(sizes)
+    rows = df.join(sizes, list(keys)).withColumn("is_fit", F.lit(True))
+    return Series(rows, tuple(keys), (), count, largest, sizes)
+
 
 def fit_split(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    fit_ratio: float = 0.8,
-    sizes: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fit_ratio: float = 0.8
 ) -> Series:
     """Mark the earliest rows of each series as its fit window.
 
     ``order`` is time first and a unique column last. Series that are too short are left out; use
-    ``too_short(series_sizes(...))`` to report them. Only the row at the boundary is looked up: the
-    data itself is neither sorted nor shuffled while a series is too long to sort in one task.
+    ``too_short(series_sizes(...))`` to report them.
     """
     keys, order = list(keys), list(order)
-    sizes = series_sizes(df, keys) if sizes is None else sizes
-    sizes = measure(sizes.where(F.col("n") >= MIN_ROWS))
-    targets = rank_targets(sizes.table, keys, {"edge": fit_count(F.col("n"), fit_ratio)})
-    edges = order_statistics(df, keys, order, targets, sizes.largest)
-    here = F.struct(*[F.col(c).alias(c) for c in order])
-    edges = settle(
-        edges.select(*keys, here.alias("edge")).join(
-            targets.select(*keys, F.col("rank").alias("fit_n")), keys
+    sizes = series_sizes(df, keys).where(F.col("n") >= MIN_ROWS)
+    count, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+    shape = tuple(keys), tuple(order), count, largest or 0
+    if (largest or 0) <= order_stats.SORTABLE_ROWS:
+        whole = Window.partitionBy(*keys)
+        rows = (
+            df.withColumn("place", F.row_number().over(whole.orderBy(*order)) - 1)
+            .withColumn("n", F.count(F.lit(1)).over(whole))
+            .where(F.col("n") >= MIN_ROWS)
+            .withColumn("n", fit_count(F.col("n"), fit_ratio))
+            .withColumn("is_fit", F.col("place") < F.col("n"))
+            .drop("place")
         )
-    )
-    rows = (
-        df.join(edges.drop("fit_n"), keys)
-        .withColumn("is_fit", here < F.col("edge"))
-        .drop("edge")
-    )
-    fit_sizes = edges.select(*keys, F.col("fit_n").alias("n"))
-    return Series(rows, tuple(keys), tuple(order), Sizes(fit_sizes, sizes.series, sizes.largest))
+        return Series(rows, *shape)
+    # Only the row at the edge of each fit window is looked up; the data itself is not sorted.
+    sizes = settle(sizes)
+    targets = rank_targets(sizes, keys, {"edge": fit_count(F.col("n"), fit_ratio)})
+    here = F.struct(*[F.col(c).alias(c) for c in order])
+    edges = order_statistics(df, keys, order, targets, largest).select(*keys, here.alias("edge"))
+    edges = settle(edges.join(targets.select(*keys, F.col("rank").alias("n")), keys))
+    rows = df.join(edges, keys).withColumn("is_fit", here < F.col("edge")).drop("edge")
+    return Series(rows, *shape, edges.select(*keys, "n"))

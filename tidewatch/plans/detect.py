@@ -110,11 +110,12 @@ def detect(
     if not short.isEmpty():
         store.record_runs(short, "detection", "failed", {"error": reason})
     try:
+        ready = rows.join(enough.select("stream_id", "run_id"), "stream_id")
         series = fit_split(
-            rows, ["stream_id"], ["observed_at", "row_fingerprint"], config.fit_ratio, sizes
+            ready, ["stream_id"], ["observed_at", "row_fingerprint"], config.fit_ratio
         )
         result = score_ensemble(series, detectors, weights, config.percentile)
-        scored = settle(result.rows.join(enough.select("stream_id", "run_id"), "stream_id"))
+        scored = settle(result.rows)
         store.append_scores(
             scores_long(scored, ["run_id", "stream_id", "row_fingerprint"], names), batch
         )
@@ -134,7 +135,10 @@ def detect(
         created = alerts.groupBy("stream_id").agg(F.count_if("inserted").alias("alerts_created"))
         finished = settle(
             enough.join(created, "stream_id", "left")
-            .join(result.thresholds, "stream_id")
+            .join(
+                scored.groupBy("stream_id").agg(F.any_value("threshold").alias("threshold")),
+                "stream_id",
+            )
             .withColumn("alerts_created", F.coalesce("alerts_created", F.lit(0)))
         )
         store.record_runs(

@@ -106,7 +106,7 @@ def run_benchmark(spark: SparkSession, config: BenchmarkConfig = BenchmarkConfig
     rows = settle(build_dataset(spark, config).withColumn("series", F.lit(0)))
     detect, step = config.detect, config.dataset.interval_seconds
     series = fit_split(rows, ["series"], ["observed_at", "idx"], detect.fit_ratio)
-    n, k = rows.count(), series.fit.table.first()["n"]
+    n, k = rows.count(), series.fit_rows.count()
     truth = rows.where("label").count()
     results: list[DataFrame] = []
 
