@@ -97,18 +97,22 @@ def drift_shift(offset: Column, seed: int, *ids: Column) -> Column:
 def local_means(rows: DataFrame, keys: Sequence[str], at: DataFrame) -> DataFrame:
     """Mean of up to five values before each chosen index; null at the start of a series.
 
-    Looks up the neighbours of the chosen rows only: no window over the whole series.
+    Looks up the neighbours of the chosen rows only: no window over the whole series. The values are
+    added in time order, so that the mean is the same to the last bit on any partitioning.
     """
     near = at.select(
         *keys,
         F.col("idx").alias("center"),
         F.explode(F.sequence(F.col("idx") - CONTEXT_ROWS, F.col("idx") - 1)).alias("idx"),
     )
-    return (
+    found = (
         near.join(rows.select(*keys, "idx", "value"), [*keys, "idx"])
         .groupBy(*keys, "center")
-        .agg(F.avg("value").alias("context"))
-        .withColumnRenamed("center", "idx")
+        .agg(F.sort_array(F.collect_list(F.struct("idx", "value")))["value"].alias("values"))
+    )
+    total = F.aggregate("values", F.lit(0.0), lambda so_far, value: so_far + value)
+    return found.select(
+        *keys, F.col("center").alias("idx"), (total / F.size("values")).alias("context")
     )
 
 

@@ -122,6 +122,25 @@ def whole_series(df: DataFrame, keys: Sequence[str]) -> Series:
     return Series(rows, tuple(keys), (), count, largest, sizes)
 
 
+def fit_splits(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fit_ratio: float = 0.8
+) -> list[Series]:
+    """Fit windows of short and of long series apart, so that one long series does not change how
+    all others are handled. Gives one or two ``Series``; results are the union over them."""
+    keys = list(keys)
+    sizes = series_sizes(df, keys).where(F.col("n") >= MIN_ROWS)
+    is_long = F.col("n") > order_stats.SORTABLE_ROWS
+    long, count = sizes.agg(F.count_if(is_long), F.count(F.lit(1))).first()
+    if long in (0, count):
+        return [fit_split(df, keys, order, fit_ratio)]
+    # At most one key per SORTABLE_ROWS rows.
+    long_keys = settle(sizes.where(is_long).select(*keys))
+    return [
+        fit_split(df.join(long_keys, keys, how), keys, order, fit_ratio)
+        for how in ("left_anti", "left_semi")
+    ]
+
+
 def fit_split(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], fit_ratio: float = 0.8
 ) -> Series:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import DEFAULT_DETECT, DetectConfig
 from tidewatch.operators.ensemble import score_ensemble, scores_long
 from tidewatch.operators.registry import build_detector
-from tidewatch.operators.split import MIN_ROWS, fit_split, series_sizes, too_short
+from tidewatch.operators.split import MIN_ROWS, fit_splits, series_sizes, too_short
 from tidewatch.plans.explain import explain_alerts
 from tidewatch.session import settle
 from tidewatch.sources.timeseries import feature
@@ -111,17 +112,23 @@ def detect(
         store.record_runs(short, "detection", "failed", {"error": reason})
     try:
         ready = rows.join(enough.select("stream_id", "run_id"), "stream_id")
-        series = fit_split(
-            ready, ["stream_id"], ["observed_at", "row_fingerprint"], config.fit_ratio
-        )
-        result = score_ensemble(series, detectors, weights, config.percentile)
-        scored = settle(result.rows)
+        order = ["observed_at", "row_fingerprint"]
+        tables: list[DataFrame] = []
+        alerting: list[DataFrame] = []
+        for series in fit_splits(ready, ["stream_id"], order, config.fit_ratio):
+            result = score_ensemble(series, detectors, weights, config.percentile)
+            tables.append(settle(result.rows))
+            alerting.append(
+                explain_alerts(
+                    tables[-1].where("is_anomaly"), series, detectors, result.models, weights,
+                    config.value_key,
+                )
+            )
+        scored = reduce(DataFrame.unionByName, tables)
+        explained = reduce(DataFrame.unionByName, alerting)
         store.append_scores(
             scores_long(scored, ["run_id", "stream_id", "row_fingerprint"], names), batch
         )
-        explained = explain_alerts(
-            scored.where("is_anomaly"), series, detectors, result.models, weights, config.value_key
-        )
         dedupe_key = F.concat_ws(":", "stream_id", "row_fingerprint", F.lit("ensemble"))
         alerts = store.upsert_alerts(
             explained.withColumn("dedupe_key", dedupe_key)
