@@ -8,11 +8,13 @@ from tests.data import labelled_rows
 from tidewatch.config import DEFAULT_DETECT, DetectConfig, DetectorConfig
 from tidewatch.operators import forest as forest_module
 from tidewatch.operators.ensemble import score_ensemble
-from tidewatch.operators.forest import ForestDetector, average_path, build_tree
+from tidewatch.operators.forest import ForestDetector
 from tidewatch.operators.mad import MadDetector
 from tidewatch.operators.registry import Detector, build_detector, register_detector
 from tidewatch.operators.split import fit_split, fit_splits
+from tidewatch.plans.explain import explain_alerts
 from tidewatch.functions.scoring import normalize_weights
+from tidewatch.functions.trees import Forest, average_path, build_tree
 
 
 @pytest.fixture(scope="module")
@@ -154,7 +156,7 @@ def test_tree_isolates_every_point(features):
 def test_step_function_equals_walking_the_trees(labelled):
     series = fit_split(labelled, ["series"], ["idx"])
     nodes = ForestDetector().fit(series).drop("series").toArrow()
-    trees = forest_module._Trees(nodes)
+    trees = Forest(nodes)
     points = np.concatenate([np.linspace(-60, 90, 500), trees.step[0][:200]]).reshape(-1, 1)
     fast = trees.sample_scores(points)
     trees.step = None
@@ -216,8 +218,14 @@ def test_own_detector(labelled):
     own = build_detector(DetectorConfig("range", "range"))
     assert isinstance(own, Detector)
     series = fit_split(labelled, ["series"], ["idx"])
-    scored = score_ensemble(series, [MadDetector(), own], [0.5, 0.5]).rows
-    assert scored.where("is_anomaly").count() > 0
+    both = [MadDetector(), own]
+    result = score_ensemble(series, both, [0.5, 0.5])
+    alerts = result.rows.where("is_anomaly")
+    alerts = alerts.withColumn("observed_at", F.timestamp_seconds("idx"))
+    explained = explain_alerts(alerts, series, both, result.models, [0.5, 0.5])
+    part = explained.first()["explanation"]["detectors"][1]
+    assert part["detector"] == "range" and part["summary"].startswith("range score=")
+    assert part["contributions"] == {} and len(part["rules"]) == 1
 
 
 def test_plan_has_one_shuffle_for_short_series(labelled):

@@ -12,12 +12,12 @@ from tidewatch.operators import order_stats
 from tidewatch.plans import reports
 from tidewatch.plans.detect import detect
 from tidewatch.plans.ingest import ingest, ingest_records
+from tidewatch.tables.publish import publish_json, write_files
 from tidewatch.tables.store import (
     TableStore,
     backfill_fingerprints,
     duplicate_fingerprints,
     latest_runs,
-    publish_json,
 )
 
 TWO_MADS = DetectConfig(
@@ -249,7 +249,27 @@ def test_backfill(spark):
     assert [r["copies"] for r in duplicate_fingerprints(filled).collect()] == [2]
 
 
-def test_published_messages(spark):
+def test_published_messages(spark, tmp_path):
     rows = spark.createDataFrame([(dt.datetime(2024, 1, 1), 42)], "timestamp timestamp, value int")
-    body = json.loads(publish_json(rows, "timestamp", "value", "demo").first()["value"])
+    write_files(publish_json(rows, "timestamp", "value", "demo"), str(tmp_path / "out"))
+    body = json.loads(spark.read.text(str(tmp_path / "out")).first()["value"])
     assert body == {"timestamp": "2024-01-01T00:00:00+00:00", "value": 42.0, "source": "demo"}
+
+
+def test_filters_reach_the_stored_tables(store, sample):
+    ingest(store, sample)
+    detect(store, TWO_MADS)
+    for view in (store.alerts(), store.runs()):
+        plan = view.where("stream_id = 'x'")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(stream_id,x)" in plan
+
+
+def test_settled_tables_can_be_released(spark, tmp_path, monkeypatch):
+    from tidewatch import session
+
+    root = tmp_path / "shared"
+    monkeypatch.setattr(session, "_settled_root", lambda _: str(root))
+    assert session.settle(spark.range(3)).count() == 3
+    assert len(list(root.iterdir())) == 1
+    session.release(spark)
+    assert not root.exists()

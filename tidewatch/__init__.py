@@ -1,5 +1,5 @@
 """Anomaly detection over large collections of time series, as PySpark jobs."""
 
-from tidewatch.session import configure
+from tidewatch.session import configure, release
 
-__all__ = ["configure"]
+__all__ = ["configure", "release"]

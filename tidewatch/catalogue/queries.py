@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +40,7 @@ from tidewatch.operators.order_stats import order_statistics, percentile_rank, r
 from tidewatch.operators.split import (
     Series,
     fit_split,
+    fit_splits,
     rank_targets,
     series_sizes,
     too_short,
@@ -73,6 +73,7 @@ from tidewatch.sources.timeseries import (
 )
 from tidewatch.streaming.consume import consume
 from tidewatch.tables import store as tables
+from tidewatch.tables.publish import publish_json
 from tidewatch.tables.store import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -421,7 +422,7 @@ def message_offsets(spark, sf_dir):
 
 @query
 def messages_out(spark, sf_dir):
-    out = tables.publish_json(events(spark, sf_dir), "ts", "value", "events")
+    out = publish_json(events(spark, sf_dir), "ts", "value", "events")
     return out.select(
         F.get_json_object("value", "$.ts").alias("ts"),
         F.get_json_object("value", "$.value").cast("double").alias("reading"),
@@ -877,13 +878,7 @@ def notifications(spark, sf_dir):
 @query
 def alerts_per_run(spark, sf_dir):
     """Alert counts per run; runs are named after their stream here."""
-    alerts = event_alerts(spark, sf_dir)
-    names = [row.name for row in event_streams(spark, sf_dir).collect()]
-    counts = [
-        reports.count_alerts_for_run(alerts, name).select(F.lit(name).alias("run_id"), "alerts")
-        for name in names
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    return reports.count_alerts(event_alerts(spark, sf_dir))
 
 
 @query
@@ -1001,8 +996,8 @@ def retail_sample_daily(spark, sf_dir):
 def benchmark_injected(spark, sf_dir):
     """Quality of MAD, forest and ensemble on events with injected point anomalies, per stream."""
     rows = settle(inject(_indexed(spark, sf_dir), ["stream"], 50, ("point",), 43))
-    series = fit_split(rows, ["stream"], ["ts", "event_id"])
-    return evaluate_series(series, BenchmarkConfig(), 60)
+    parts = fit_splits(rows, ["stream"], ["ts", "event_id"])
+    return evaluate_series(parts, BenchmarkConfig(), 60)
 
 
 @query

@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 
 
 def classification_counts(
-    df: DataFrame, label: str, flag: str, keys: Sequence[str] = ()
+    df: DataFrame,
+    label: str,
+    flag: str,
+    keys: Sequence[str] = (),
+    totals: Sequence[Column] = (),
 ) -> DataFrame:
-    """True positives, false positives and false negatives in one pass over labelled flags."""
+    """True positives, false positives and false negatives in one pass over labelled flags.
+
+    ``totals`` are further aggregates to take in the same pass.
+    """
     truth, found = F.col(label).cast("boolean"), F.col(flag).cast("boolean")
     return df.groupBy(*keys).agg(
         F.count_if(truth & found).alias("true_positives"),
         F.count_if(~truth & found).alias("false_positives"),
         F.count_if(truth & ~found).alias("false_negatives"),
+        *totals,
     )
 
 

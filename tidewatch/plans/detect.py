@@ -18,6 +18,9 @@ from tidewatch.session import settle
 from tidewatch.sources.timeseries import feature
 from tidewatch.tables.store import TableStore
 
+# Most batch directories that are named one by one in a filter.
+MAX_LISTED = 1000
+
 
 def latest_ingestion_runs(runs: DataFrame) -> DataFrame:
     """Newest completed run with content of each stream: by finish, then by start."""
@@ -81,10 +84,13 @@ def detect(
     names = [d.name for d in detectors]
     features = list(dict.fromkeys(key for d in detectors for key in d.feature_keys))
 
-    stored = store.observations().join(
-        sources.select("stream_id", "run_id", "batch_id"), ["stream_id", "run_id", "batch_id"],
-        "left_semi",
-    )
+    stored = store.observations()
+    batches = [row.batch_id for row in sources.select("batch_id").distinct().limit(MAX_LISTED + 1).collect()]
+    if len(batches) <= MAX_LISTED:
+        # Names the directories to read; with more batches the join alone selects the rows.
+        stored = stored.where(F.col("batch_id").isin(batches))
+    run_keys = ["stream_id", "run_id", "batch_id"]
+    stored = stored.join(sources.select(*run_keys), run_keys, "left_semi")
     # Parse the payload once; every later pass reads only these narrow columns.
     rows = settle(feature_rows(stored, features))
     sizes = series_sizes(rows, ["stream_id"])

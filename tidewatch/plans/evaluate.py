@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,9 +68,8 @@ def quality(flagged: DataFrame, keys: Sequence[str], interval_seconds: int) -> D
 
     ``flagged`` has the keys, ``label`` and ``flag``.
     """
-    counts = classification_counts(flagged, "label", "flag", keys)
-    sizes = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"))
-    rated = precision_recall_f1(counts.join(sizes, list(keys)))
+    samples = F.count(F.lit(1)).alias("n_samples")
+    rated = precision_recall_f1(classification_counts(flagged, "label", "flag", keys, [samples]))
     hours = F.col("n_samples") * F.lit(float(interval_seconds)) / F.lit(3600.0)
     per_hour = false_positives_per_hour(F.col("false_positives"), hours)
     return rated.select(
@@ -85,16 +85,20 @@ def quality(flagged: DataFrame, keys: Sequence[str], interval_seconds: int) -> D
 
 
 def evaluate_series(
-    series: Series, config: BenchmarkConfig, interval_seconds: int
+    parts: Sequence[Series], config: BenchmarkConfig, interval_seconds: int
 ) -> DataFrame:
-    """Quality of each detector alone and of their ensemble, per series. Rows carry ``label``."""
+    """Quality of each detector alone and of their ensemble, per series. Rows carry ``label``;
+    ``parts`` come from ``fit_splits``."""
     detect = config.detect
     detectors = [build_detector(item) for item in detect.detectors]
     weights = [item.weight for item in detect.detectors]
-    scored = score_ensemble(series, detectors, weights, detect.percentile)
     flags = {d.name: f"flag__{d.name}" for d in detectors} | {"ensemble": "is_anomaly"}
-    long = flags_long(scored.rows, [*series.keys, "label"], flags)
-    return quality(long, [*series.keys, "detector"], interval_seconds)
+    rated = []
+    for series in parts:
+        scored = score_ensemble(series, detectors, weights, detect.percentile)
+        long = flags_long(scored.rows, [*series.keys, "label"], flags)
+        rated.append(quality(long, [*series.keys, "detector"], interval_seconds))
+    return reduce(DataFrame.unionByName, rated)
 
 
 def run_benchmark(spark: SparkSession, config: BenchmarkConfig = BenchmarkConfig()) -> DataFrame:

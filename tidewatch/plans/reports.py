@@ -141,6 +141,11 @@ def dashboard_alerts(alerts: DataFrame) -> DataFrame:
     return alert_summary(alerts).select("observed_at", "score", "summary", "alert_id")
 
 
+def count_alerts(alerts: DataFrame) -> DataFrame:
+    """Alerts per run."""
+    return alerts.groupBy("run_id").agg(F.count(F.lit(1)).alias("alerts"))
+
+
 def count_alerts_for_run(alerts: DataFrame, run_id: str) -> DataFrame:
     return alerts.where(F.col("run_id") == run_id).agg(F.count(F.lit(1)).alias("alerts"))
 

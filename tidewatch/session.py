@@ -33,7 +33,7 @@ def scratch_root(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder of its own, because there every
     task sees the same disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -43,6 +43,10 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _settled_root(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/settled/{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table.
 
@@ -51,6 +55,12 @@ def settle(df: DataFrame) -> DataFrame:
     while that size is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/settled/{uuid.uuid4().hex}"
+    path = f"{_settled_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has settled. DataFrames built on it cannot be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_settled_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.times import coerce_utc
 from tidewatch.operators.order_stats import ranked
+from tidewatch.session import settle
 from tidewatch.sources.timeseries import (
     conform_timeseries,
     observations,
@@ -108,7 +109,8 @@ def label_by_windows(
             F.least("end", "closing").alias("end"),
         )
     )
-    disjoint = merge_windows(by_day, on)
+    # Settled, so that the optimizer knows whether the windows are small enough to broadcast.
+    disjoint = settle(merge_windows(by_day, on))
     moment = coerce_utc(F.col(timestamp_column))
     rows = df.withColumn("moment", moment).withColumn("day", _day(F.col("moment")))
     r, w = rows.alias("r"), disjoint.alias("w")

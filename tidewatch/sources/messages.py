@@ -30,20 +30,26 @@ def kafka_stream(spark: SparkSession, config: MessageSourceConfig) -> DataFrame:
     )
 
 
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    As a plain projection it would be copied into every later filter and column that uses it; the
+    optimizer does not move expressions through a generator.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def _parsed(df: DataFrame, timestamp_field: str, value_field: str) -> DataFrame:
     """Parsed fields next to the message, and ``problem``: null when the message is good."""
-    fields = F.from_json("value", "map<string,variant>")
-    staged = df.withColumn("fields", F.when(F.try_parse_json("value").isNotNull(), fields))
+    staged = _once(df, "document", F.try_parse_json("value"))
+    staged = _once(staged, "fields", F.try_variant_get("document", "$", "map<string,variant>"))
     time, number = F.col("fields")[timestamp_field], F.col("fields")[value_field]
-    staged = staged.withColumns({"raw_time": time, "raw_value": number})
-    is_text = F.schema_of_variant("raw_time") == "STRING"
-    observed_at = F.when(is_text, parse_iso(F.try_variant_get("raw_time", "$", "string")))
-    staged = staged.withColumns(
-        {
-            "observed_at": observed_at,
-            "number": F.try_variant_get("raw_value", "$", "double"),
-        }
+    is_text = F.schema_of_variant(time) == "STRING"
+    reading = F.struct(
+        F.when(is_text, parse_iso(F.try_variant_get(time, "$", "string"))).alias("observed_at"),
+        F.try_variant_get(number, "$", "double").alias("number"),
     )
+    staged = _once(staged, "reading", reading).select("*", "reading.*")
     problem = (
         F.when(F.col("fields").isNull(), F.lit("Expected JSON object in message"))
         .when(
@@ -61,18 +67,17 @@ def _parsed(df: DataFrame, timestamp_field: str, value_field: str) -> DataFrame:
 
 
 def _payload(value_field: str, timestamp_field: str) -> Column:
-    """Other fields as they came, the numeric value, and where the message was read from."""
+    """Other fields as they came, the numeric value, and where the message was read from.
+
+    A variant keeps the keys of an object sorted, at every level.
+    """
     taken = [timestamp_field, value_field, "kafka"]
     others = F.map_filter("fields", lambda key, _: ~key.isin(taken))
     origin = F.to_variant_object(F.struct("topic", "partition", "offset"))
     own = F.create_map(
-        F.lit(value_field),
-        F.col("number").cast("variant"),
-        F.lit("kafka"),
-        origin,
+        F.lit(value_field), F.col("number").cast("variant"), F.lit("kafka"), origin
     )
-    # A round trip through a variant sorts the keys at every level.
-    return F.to_json(F.parse_json(F.to_json(F.map_concat(others, own))))
+    return F.to_json(F.to_variant_object(F.map_concat(others, own)))
 
 
 def parse_messages(

@@ -182,44 +182,56 @@ class TableStore:
             kept.write.mode("overwrite").parquet(self.path(table))
 
 
+# The views below group by more than the id, by columns the id determines, so that a filter on
+# those columns reaches the scan.
+
+
 def latest_streams(versions: DataFrame) -> DataFrame:
     """Current settings of each stream, with the times of its first and last version."""
-    current = F.max_by(F.struct("name", "source_type", "config"), "event_at").alias("current")
+    current = F.max_by(F.struct("source_type", "config"), "event_at").alias("current")
     return (
-        versions.groupBy("stream_id")
+        versions.groupBy("stream_id", "name")
         .agg(current, F.min("event_at").alias("created_at"), F.max("event_at").alias("updated_at"))
-        .select("stream_id", "current.*", "created_at", "updated_at")
+        .select("stream_id", "name", "current.*", "created_at", "updated_at")
     )
 
 
 def latest_runs(events: DataFrame) -> DataFrame:
-    """One row per run: last status, start and finish, and metadata with later values on top."""
+    """One row per run: last status, start and finish, and metadata with later values on top.
+
+    A run has a few events (one per change of status and retry), so they are merged in one group.
+    """
     done = F.col("status").isin("completed", "failed")
-    state = events.groupBy("run_id").agg(
-        F.max("stream_id").alias("stream_id"),
-        F.max("run_type").alias("run_type"),
-        F.max_by("status", "event_at").alias("status"),
-        F.min("event_at").alias("started_at"),
-        F.max(F.when(done, F.col("event_at"))).alias("finished_at"),
-    )
-    entries = (
-        events.select("run_id", "event_at", F.explode("metadata").alias("key", "entry"))
-        .groupBy("run_id", "key")
-        .agg(F.max_by("entry", "event_at").alias("entry"))
-        .groupBy("run_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("key", "entry"))).alias("metadata"))
+    history = F.sort_array(F.collect_list(F.struct("event_at", F.map_entries("metadata").alias("entries"))))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+    def overlay(merged: Column, event: Column) -> Column:
+        later = F.map_from_entries(event["entries"])
+        kept = F.map_filter(merged, lambda key, _: ~F.map_contains_key(later, key))
+        return F.map_concat(kept, later)
+
+    return (
+        events.groupBy("run_id", "stream_id", "run_type")
+        .agg(
+            F.max_by("status", "event_at").alias("status"),
+            F.min("event_at").alias("started_at"),
+            F.max(F.when(done, F.col("event_at"))).alias("finished_at"),
+            history.alias("history"),
+        )
+        .withColumn("metadata", F.aggregate("history", empty, overlay))
+        .drop("history")
     )
-    return state.join(entries, "run_id", "left")
 
 
 def latest_alerts(versions: DataFrame) -> DataFrame:
     """Current version of each alert; ``created_at`` is that of its first version."""
-    columns = [c for c in versions.columns if c not in ("alert_id", "event_at")]
-    order = F.struct("event_at", "run_id")
+    ids = [c for c in ("alert_id", "stream_id") if c in versions.columns]
+    columns = [c for c in versions.columns if c not in (*ids, "event_at")]
+    current = F.max_by(F.struct(*columns), F.struct("event_at", "run_id")).alias("current")
     return (
-        versions.groupBy("alert_id")
-        .agg(F.max_by(F.struct(*columns), order).alias("current"), F.min("event_at").alias("created_at"))
-        .select("alert_id", "current.*", "created_at")
+        versions.groupBy(*ids)
+        .agg(current, F.min("event_at").alias("created_at"))
+        .select(*ids, "current.*", "created_at")
     )
 
 
@@ -257,19 +269,5 @@ def batch_key(runs: DataFrame) -> str:
     return runs.agg(content_digest(F.col("run_id"))).first()[0]
 
 
-def publish_json(
-    df: DataFrame, timestamp_column: str, value_column: str, source: str
-) -> DataFrame:
-    """Rows as JSON messages ``{time, value, source}`` in a ``value`` column, as Kafka sinks take."""
-    from tidewatch.functions.times import iso_utc
-
-    body = F.struct(
-        iso_utc(F.col(timestamp_column)).alias(timestamp_column),
-        F.col(value_column).cast("double").alias(value_column),
-        F.lit(source).alias("source"),
-    )
-    return df.select(F.to_json(body).alias("value"))
-
-
 def series_names(names: Sequence[str], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(name,) for name in names], "name string")
