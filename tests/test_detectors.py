@@ -156,7 +156,7 @@ def test_tree_isolates_every_point(features):
 def test_step_function_equals_walking_the_trees(labelled):
     series = fit_split(labelled, ["series"], ["idx"])
     nodes = ForestDetector().fit(series).drop("series").toArrow()
-    trees = Forest(nodes)
+    trees = Forest.from_table(nodes)
     points = np.concatenate([np.linspace(-60, 90, 500), trees.step[0][:200]]).reshape(-1, 1)
     fast = trees.sample_scores(points)
     trees.step = None

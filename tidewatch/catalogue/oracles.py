@@ -297,6 +297,12 @@ _SQL = {
     + """select event_id, 'mad_value' as detector, round(z_v, 6) as score, z_v > thr_v as is_anomaly from e
         union all select event_id, 'mad_k', round(z_k, 6), z_k > thr_k from e
         union all select event_id, 'ensemble', round(combined, 6), flag from e""",
+    "forest_score_range": """
+        select event_type as stream, count(*) as n, 0.0::double as low, 1.0::double as high from events group by 1""",
+    "detect_two_features": EVENT_ENSEMBLE
+    + """select stream as stream_name, 'completed' as status, count(*) as observations_scored,
+          count(*) filter (where flag) as alerts_created, round(any_value(ethr), 6) as ensemble_threshold
+        from e group by 1""",
     "alerts_current": EVENT_MAD
     + ","
     + mad_ctes("k", "k", "stream")

@@ -695,7 +695,7 @@ FOREST = ForestDetector("isolation_forest", ("value", "k"))
 @query
 def forest_flags(spark, sf_dir):
     series = split_events(spark, sf_dir)
-    scored = FOREST.score(series, FOREST.fit(series))
+    scored, _ = FOREST.fit_and_score(series)
     return scored.select(
         "stream",
         "event_id",
@@ -716,7 +716,7 @@ def forest_embeddings(spark, sf_dir):
     )
     series = fit_split(rows, ["label"], ["vec_id"])
     detector = ForestDetector("isolation_forest", tuple(dims))
-    scored = detector.score(series, detector.fit(series))
+    scored, _ = detector.fit_and_score(series)
     return scored.select(
         "label",
         "vec_id",
@@ -725,12 +725,22 @@ def forest_embeddings(spark, sf_dir):
     )
 
 
+@query
+def forest_score_range(spark, sf_dir):
+    """Scores are scaled to the batch: from 0 to 1 in every series."""
+    scored, _ = FOREST.fit_and_score(split_events(spark, sf_dir))
+    score = F.col("score__isolation_forest")
+    return scored.groupBy("stream").agg(
+        F.count(F.lit(1)).alias("n"), F.min(score).alias("low"), F.max(score).alias("high")
+    )
+
+
 @query
 def forest_attribution(spark, sf_dir):
     """Which feature drives the anomaly score of each flagged event."""
     series = split_events(spark, sf_dir)
-    model = FOREST.fit(series)
-    flagged = FOREST.score(series, model).where("flag__isolation_forest")
+    scored, model = FOREST.fit_and_score(series)
+    flagged = scored.where("flag__isolation_forest")
     attributed = attribute_forest(flagged, FOREST, model, series)
     return attributed.select(
         "stream", "event_id", *[share.alias(key) for key, share in forest_contributions(FOREST).items()]
@@ -752,6 +762,27 @@ def detect_all(spark, sf_dir):
     )
 
 
+@query
+def detect_two_features(spark, sf_dir):
+    """The same with MAD on two features, which plain SQL can follow."""
+    store = TableStore(spark, scratch(spark, "store"))
+    records = stored_events(spark, sf_dir).select(
+        F.col("stream").alias("stream_name"), "observed_at", "value", "payload"
+    )
+    ingest_records(store, records, "parquet", {"table": "events"})
+    config = DetectConfig(
+        (
+            DetectorConfig("mad_value", "mad", 0.6, {"value_key": "value"}),
+            DetectorConfig("mad_k", "mad", 0.4, {"value_key": "k"}),
+        )
+    )
+    result = detect(store, config)
+    return result.select(
+        "stream_name", "status", "observations_scored", "alerts_created",
+        F.round("ensemble_threshold", 6).alias("ensemble_threshold"),
+    )
+
+
 # Alerts and explanations
 
 

@@ -6,13 +6,17 @@ Runs inside Spark tasks, so nothing here touches Spark.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
+# Trees of a forest and points a tree is grown from.
+TREES = 100
+SUBSAMPLE = 256
+NODE_ARRAYS = ("feature", "cut", "left", "right", "path")
 # Points that walk all trees together.
 POINTS_PER_WALK = 1024
 
@@ -91,33 +95,60 @@ def build_tree(
     }
 
 
+def grow_forest(
+    points: np.ndarray, drawn: np.ndarray, n: int, name: str
+) -> list[dict[str, np.ndarray]]:
+    """The trees of one series, each from its own subsample without replacement.
+
+    ``points`` and their hashes ``drawn`` may come in any order; ``n`` is the length of the fit
+    window they were drawn from. The same points and name always grow the same forest.
+    """
+    points = points[np.lexsort((*points.T, drawn))]
+    seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
+    rng = np.random.default_rng(seed)
+    size = min(SUBSAMPLE, n, len(points))
+    limit = math.ceil(math.log2(max(size, 2)))
+    return [
+        build_tree(points[rng.choice(len(points), size, replace=False)], rng, limit)
+        for _ in range(TREES)
+    ]
+
+
 class Forest:
     """The forest of one series, ready to score arrays of points."""
 
-    def __init__(self, rows: pa.Table) -> None:
-        rows = rows.sort_by("tree").combine_chunks()
-        lengths = pc.list_value_length(rows["feature"]).to_numpy()
+    def __init__(self, trees: Sequence[Mapping[str, np.ndarray]], n: int) -> None:
+        lengths = np.array([len(tree["feature"]) for tree in trees])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
         def flat(name: str) -> np.ndarray:
-            return pc.list_flatten(rows[name]).to_numpy()
+            return np.concatenate([tree[name] for tree in trees])
 
         # All trees in one set of arrays: children point into it, leaves point to themselves.
         shift = np.repeat(starts, lengths)
         here = np.arange(len(shift))
-        feature, left, right = flat("feature"), flat("left"), flat("right")
+        feature = flat("feature")
         self.roots = starts
         self.leaf = feature < 0
         self.feature = np.maximum(feature, 0)
         self.cut = flat("cut")
-        self.left = np.where(self.leaf, here, left + shift)
-        self.right = np.where(self.leaf, here, right + shift)
+        self.left = np.where(self.leaf, here, flat("left") + shift)
+        self.right = np.where(self.leaf, here, flat("right") + shift)
         self.path = flat("path")
-        norm = average_path(rows["subsample"][0].as_py()) or 1.0
-        self.scale = len(starts) * norm
+        self.scale = len(trees) * (average_path(min(SUBSAMPLE, n)) or 1.0)
         self.step: tuple[np.ndarray, np.ndarray] | None = None
         if feature.max(initial=-1) <= 0:
-            self.step = self._step_function(np.repeat(np.arange(len(starts)), lengths))
+            self.step = self._step_function(np.repeat(np.arange(len(trees)), lengths))
+
+    @classmethod
+    def from_table(cls, rows: pa.Table) -> Forest:
+        """From one row of node arrays per tree."""
+        rows = rows.sort_by("tree").combine_chunks()
+        trees = [
+            {name: rows[name][i].values.to_numpy() for name in NODE_ARRAYS}
+            for i in range(rows.num_rows)
+        ]
+        return cls(trees, rows["n"][0].as_py())
 
     def _walk(self, node: np.ndarray, value_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """Path length reached from each start node; ``value_of(nodes)`` gives the tested values."""

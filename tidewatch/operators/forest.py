@@ -1,14 +1,12 @@
 """Isolation forest for every series at once.
 
 Follows Liu, Ting and Zhou, "Isolation Forest" (2008): each tree isolates a small random subsample
-with random cuts, and rows that need few cuts score as anomalous. Spark draws the subsamples, groups
-them by tree and applies the trees; the only Python is the tree itself.
+with random cuts, and rows that need few cuts score as anomalous. Spark thins each series to a pool
+of bounded size and brings pools, forests and rows together; the only Python is the tree itself.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,26 +15,22 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import trees as _trees
 from tidewatch.functions.scoring import min_max
-from tidewatch.functions.trees import Forest, build_tree
+from tidewatch.functions.trees import NODE_ARRAYS, SUBSAMPLE, Forest, grow_forest
 from tidewatch.operators.split import Series
 from tidewatch.session import settle
 
 # The tree code travels with the tasks: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(_trees)
 
-TREES = 100
-SUBSAMPLE = 256
 # Rows drawn per series before the trees take their subsamples from them: 32 subsamples, so that two
 # trees share about 3% of their rows.
 POOL_ROWS = 32 * SUBSAMPLE
-# Trees built by one Python call.
-TREES_PER_GROUP = 10
 # A forest is about a megabyte, so this many series can be shipped to every task.
 BROADCAST_SERIES = 64
 # Rows one task scores at a time when forests are joined to the rows instead.
@@ -49,7 +43,6 @@ _NODES = [
     T.StructField("left", T.ArrayType(T.IntegerType())),
     T.StructField("right", T.ArrayType(T.IntegerType())),
     T.StructField("path", T.ArrayType(T.DoubleType())),
-    T.StructField("subsample", T.IntegerType()),
     T.StructField("n", T.LongType()),
 ]
 
@@ -59,72 +52,76 @@ def _unit(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)
 
 
-def tree_samples(series: Series, features: Sequence[str], seed: int) -> DataFrame:
-    """``min(256, n)`` fit rows without replacement for each tree of each series.
+def with_pool(series: Series, seed: int) -> DataFrame:
+    """Rows with ``drawn``, a hash, and ``pooled``: a fit row that the hash keeps.
 
-    A hash of the row first thins a long series to a pool, so the per-tree draws are made for a
-    bounded number of rows per series however long it is.
+    However long a series is, about ``POOL_ROWS`` of its rows are kept; of a short one, all.
     """
-    keys, row_id = list(series.keys), series.order[-1]
-    pool_rate = F.lit(float(POOL_ROWS)) / F.col("n")
-    pool_rows = F.least(F.col("n"), F.lit(POOL_ROWS))
-    tree_rate = F.lit(1.5 * SUBSAMPLE) / pool_rows
-    pool = (
-        series.fit_rows.select(
-            *keys,
-            row_id,
-            "n",
-            F.array(*[F.col(f) for f in features]).alias("point"),
-            F.xxhash64(F.lit(seed), *keys, F.col(row_id)).alias("drawn"),
-        )
-        .where(_unit(F.col("drawn")) < pool_rate)
+    drawn = F.xxhash64(F.lit(seed), *series.keys, F.col(series.order[-1]))
+    rate = F.lit(float(POOL_ROWS)) / F.col("n")
+    return series.rows.withColumn("drawn", drawn).withColumn(
+        "pooled", F.col("is_fit") & (_unit(F.col("drawn")) < rate)
     )
 
-    def ticket(tree: Column) -> Column:
-        return F.xxhash64(F.lit(seed), tree, F.col("drawn"))
 
-    chosen = F.filter(
-        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda tree: _unit(ticket(tree)) < tree_rate
-    )
-    spark = series.rows.sparkSession
-    groups = series.count * math.ceil(TREES / TREES_PER_GROUP)
-    tasks = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # The window and the tree building that follows share this one shuffle.
-    window = Window.partitionBy(*keys, "block", "tree").orderBy("ticket", row_id)
-    return (
-        pool.withColumn("tree", F.explode(chosen))
-        .withColumn("ticket", _unit(ticket(F.col("tree"))))
-        .withColumn("block", F.floor(F.col("tree") / TREES_PER_GROUP))
-        .repartition(tasks, *keys, "block")
-        .withColumn("position", F.row_number().over(window))
-        .where(F.col("position") <= SUBSAMPLE)
-        .select(*keys, "block", "tree", "position", "point", "n")
-    )
+def _in_own_tasks(df: DataFrame, series: Series) -> DataFrame:
+    """Keep few series from being put into one task for their small size: trees take time."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if series.count <= tasks:
+        return df.repartition(max(1, series.count), *series.keys)
+    return df
+
+
+def _name(seed: int, keys: Sequence[str], table: pa.Table) -> str:
+    return "|".join([str(seed), *[str(table[k][0].as_py()) for k in keys]])
+
+
+def _grown(table: pa.Table, keys: Sequence[str], features: Sequence[str], seed: int) -> list[dict]:
+    points = np.column_stack([table[f].to_numpy().astype(np.float64) for f in features])
+    drawn = table["drawn"].to_numpy()
+    return grow_forest(points, drawn, table["n"][0].as_py(), _name(seed, keys, table))
 
 
 def fit_forest(series: Series, features: Sequence[str], seed: int = 42) -> DataFrame:
-    """Settled forest: one row of node arrays per series and tree."""
-    keys = list(series.keys)
-    samples = tree_samples(series, features, seed)
-    key_fields = [samples.schema[k] for k in keys]
+    """Forests as one row of node arrays per series and tree."""
+    keys, features = list(series.keys), list(dict.fromkeys(features))
+    pool = with_pool(series, seed).where("pooled").select(*keys, *features, "n", "drawn")
+    key_fields = [pool.schema[k] for k in keys]
     schema = T.StructType([*key_fields, *_NODES])
 
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        grown = []
-        for tree, rows in group.groupby("tree", sort=True):
-            rows = rows.sort_values("position")
-            key = [rows[k].iloc[0] for k in keys]
-            name = "|".join([str(seed), *map(str, key), str(tree)])
-            draws = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
-            points = np.array(rows["point"].tolist(), dtype=np.float64)
-            limit = math.ceil(math.log2(max(len(points), 2)))
-            nodes = build_tree(points, np.random.default_rng(draws), limit)
-            n = int(rows["n"].iloc[0])
-            arrays = [nodes[f.name] for f in _NODES[1:6]]
-            grown.append([*key, int(tree), *arrays, min(SUBSAMPLE, n), n])
-        return pd.DataFrame(grown, columns=schema.names)
+    def grow(table: pa.Table) -> pa.Table:
+        trees = _grown(table, keys, features, seed)
+        count = len(trees)
+        columns = {k: pa.repeat(table[k][0], count) for k in keys}
+        columns["tree"] = pa.array(range(count), pa.int32())
+        for name in NODE_ARRAYS:
+            columns[name] = pa.array([tree[name] for tree in trees])
+        columns["n"] = pa.repeat(table["n"][0], count)
+        return pa.table(columns)
+
+    return _in_own_tasks(pool, series).groupBy(*keys).applyInArrow(grow, schema)
+
 
-    return settle(samples.groupBy(*keys, "block").applyInPandas(grow, schema))
+def fit_and_score_forest(
+    series: Series, features: Sequence[str], output: str, seed: int = 42
+) -> DataFrame:
+    """Grow and apply each forest in one call per series, without a table of forests in between.
+
+    For series that fit one task. Gives the same scores as ``fit_forest`` and ``score_forest``.
+    """
+    keys, features = list(series.keys), list(dict.fromkeys(features))
+    rows = with_pool(series, seed)
+    kept = series.rows.columns
+    schema = T.StructType([*series.rows.schema.fields, T.StructField(output, T.DoubleType())])
+
+    def score(table: pa.Table) -> pa.Table:
+        trees = _grown(table.filter(table["pooled"]), keys, features, seed)
+        forest = Forest(trees, table["n"][0].as_py())
+        points = np.column_stack([table[f].to_numpy().astype(np.float64) for f in features])
+        scores = pa.array(forest.sample_scores(points), pa.float64())
+        return table.select(kept).append_column(output, scores)
+
+    return _in_own_tasks(rows, series).groupBy(*keys).applyInArrow(score, schema)
 
 
 def score_forest(
@@ -161,7 +158,7 @@ def _score_with_broadcast(
             codes, names = pd.factorize(labels)
             for code, name in enumerate(names):
                 if name not in ready:
-                    ready[name] = Forest(shipped.value[name])
+                    ready[name] = Forest.from_table(shipped.value[name])
                 mine = np.flatnonzero(codes == code)
                 scores[mine] = ready[name].sample_scores(points[mine])
             yield pd.Series(scores)
@@ -191,7 +188,7 @@ def _score_with_cogroup(
 
     def score(group: pa.Table, nodes: pa.Table) -> pa.Table:
         group = group.select(kept)
-        ready = Forest(nodes) if group.num_rows else None
+        ready = Forest.from_table(nodes) if group.num_rows else None
         for output, features in wanted.items():
             scores = np.empty(0)
             if ready is not None:
@@ -226,18 +223,31 @@ class ForestDetector:
     random_state: int = 42
 
     def fit(self, series: Series) -> DataFrame:
-        """Settled forest, see ``fit_forest``."""
-        return fit_forest(series, self.feature_keys, self.random_state)
+        """Settled forests, see ``fit_forest``."""
+        return settle(fit_forest(series, self.feature_keys, self.random_state))
 
     def score(self, series: Series, model: DataFrame) -> DataFrame:
-        """Add the detector's score, its score within the fit window and its flag.
-
-        The score is the anomaly score scaled to the batch at hand: all rows for ``score__``, the
-        fit rows for ``fit_score__``. The Python scores are written once and read by later passes.
-        """
+        """Add the detector's score, its score within the fit window and its flag."""
         sample = f"sample__{self.name}"
+        # The Python scores are written once and read by the passes that follow.
         scored = settle(score_forest(series.rows, series, model, {sample: self.feature_keys}))
-        offset = with_contamination_offset(series.with_rows(scored), sample, self.contamination)
+        return self._scaled(series.with_rows(scored))
+
+    def fit_and_score(self, series: Series) -> tuple[DataFrame, DataFrame]:
+        """Both at once while series fit one task; the model is then grown again only if used."""
+        if not series.compact:
+            model = self.fit(series)
+            return self.score(series, model), model
+        sample = f"sample__{self.name}"
+        scored = fit_and_score_forest(series, self.feature_keys, sample, self.random_state)
+        model = fit_forest(series, self.feature_keys, self.random_state)
+        return self._scaled(series.with_rows(scored)), model
+
+    def _scaled(self, series: Series) -> DataFrame:
+        """The score is the anomaly score scaled to the batch at hand: all rows for ``score__``, the
+        fit rows for ``fit_score__``."""
+        sample = f"sample__{self.name}"
+        offset = with_contamination_offset(series, sample, self.contamination)
         fit_only = F.when(F.col("is_fit"), F.col(sample))
         bounded = offset.with_aggregates(
             {
