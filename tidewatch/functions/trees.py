@@ -114,6 +114,15 @@ def grow_forest(
     ]
 
 
+def grow_from_table(
+    table: pa.Table, keys: Sequence[str], features: Sequence[str], seed: int
+) -> list[dict[str, np.ndarray]]:
+    """``grow_forest`` for rows of one series with its keys, features, ``drawn`` and ``n``."""
+    points = np.column_stack([table[f].to_numpy().astype(np.float64) for f in features])
+    name = "|".join([str(seed), *[str(table[k][0].as_py()) for k in keys]])
+    return grow_forest(points, table["drawn"].to_numpy(), table["n"][0].as_py(), name)
+
+
 class Forest:
     """The forest of one series, ready to score arrays of points."""
 

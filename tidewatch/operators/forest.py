@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions import trees as _trees
 from tidewatch.functions.scoring import min_max
-from tidewatch.functions.trees import NODE_ARRAYS, SUBSAMPLE, Forest, grow_forest
+from tidewatch.functions.trees import NODE_ARRAYS, SUBSAMPLE, Forest, grow_from_table
 from tidewatch.operators.split import Series
 from tidewatch.session import settle
 
@@ -72,16 +72,6 @@ def _in_own_tasks(df: DataFrame, series: Series) -> DataFrame:
     return df
 
 
-def _name(seed: int, keys: Sequence[str], table: pa.Table) -> str:
-    return "|".join([str(seed), *[str(table[k][0].as_py()) for k in keys]])
-
-
-def _grown(table: pa.Table, keys: Sequence[str], features: Sequence[str], seed: int) -> list[dict]:
-    points = np.column_stack([table[f].to_numpy().astype(np.float64) for f in features])
-    drawn = table["drawn"].to_numpy()
-    return grow_forest(points, drawn, table["n"][0].as_py(), _name(seed, keys, table))
-
-
 def fit_forest(series: Series, features: Sequence[str], seed: int = 42) -> DataFrame:
     """Forests as one row of node arrays per series and tree."""
     keys, features = list(series.keys), list(dict.fromkeys(features))
@@ -90,7 +80,7 @@ def fit_forest(series: Series, features: Sequence[str], seed: int = 42) -> DataF
     schema = T.StructType([*key_fields, *_NODES])
 
     def grow(table: pa.Table) -> pa.Table:
-        trees = _grown(table, keys, features, seed)
+        trees = grow_from_table(table, keys, features, seed)
         count = len(trees)
         columns = {k: pa.repeat(table[k][0], count) for k in keys}
         columns["tree"] = pa.array(range(count), pa.int32())
@@ -115,7 +105,7 @@ def fit_and_score_forest(
     schema = T.StructType([*series.rows.schema.fields, T.StructField(output, T.DoubleType())])
 
     def score(table: pa.Table) -> pa.Table:
-        trees = _grown(table.filter(table["pooled"]), keys, features, seed)
+        trees = grow_from_table(table.filter(table["pooled"]), keys, features, seed)
         forest = Forest(trees, table["n"][0].as_py())
         points = np.column_stack([table[f].to_numpy().astype(np.float64) for f in features])
         scores = pa.array(forest.sample_scores(points), pa.float64())
