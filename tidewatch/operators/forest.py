@@ -65,10 +65,11 @@ def with_pool(series: Series, seed: int) -> DataFrame:
 
 
 def _in_own_tasks(df: DataFrame, series: Series) -> DataFrame:
-    """Keep few series from being put into one task for their small size: trees take time."""
+    """Keep moderately many series from being put into one task for their small size: growing trees
+    takes far longer than their bytes suggest."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if series.count <= tasks:
-        return df.repartition(max(1, series.count), *series.keys)
+    if series.count <= 100 * tasks:
+        return df.repartition(max(1, min(series.count, tasks)), *series.keys)
     return df
 
 
