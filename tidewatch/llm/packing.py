@@ -10,6 +10,7 @@ sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,11 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a task remembers; beyond it forgets them and starts anew.
 REMEMBERED_WORDS = 400_000
-ENCODED_TOGETHER = 256
+ENCODED_TOGETHER = 512
+TEXTS_TOGETHER = 256
+# Signs from U+0080 to U+00BF that may count as letters, digits or spaces in one library only, and
+# a letter whose lower case is two characters.
+SIGNS = re.compile("[\x1c-\x1f\x80-\xbf\xd7\xf7\u0130]")
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -41,48 +46,62 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, word by word with a memory.
+    """Ids of texts as little-endian unsigned 32-bit bytes, with a memory of what was encoded.
 
-    The vocabulary's own pre-tokenizer cuts texts into words that are encoded independently of each
-    other. Texts of Latin letters, which its normalizer treats letter by letter, are cut here and
-    their words looked up; any other text is left to the library whole.
+    The vocabulary's own pre-tokenizer never looks across white space. Texts of Latin letters, which
+    its normalizer treats letter by letter, are cut there and the parts looked up; any other text is
+    left to the library whole. New parts of many texts are encoded together as one text, which the
+    mark of a word's last token takes apart again.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        # Fixed value: the word pattern of the vocabulary file.
-        self._words = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        # Fixed value: the word pattern of the vocabulary file, for Latin letters in lower case.
+        self._words = re.compile(
+            "[a-z\xc0-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z\xc0-\u017f0-9]+"
         ).findall
+        vocabulary = self._tokenizer.get_vocab()
+        self._closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
 
     @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def _simple(text: str) -> bool:
+        """Whether all is ASCII or a Latin letter below U+0180, and no special token can occur."""
+        if "<|" in text:
+            return False
+        return not SIGNS.search(text) and (text.isascii() or max(text) < "ƀ")
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or not (text.isascii() or max(text) < "ƀ"):
-            return self._bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
-        words = self._words(text.lower())
+    def _learn(self, fresh: list[str]) -> None:
+        for i in range(0, len(fresh), ENCODED_TOGETHER):
+            some = fresh[i : i + ENCODED_TOGETHER]
+            got = self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(got[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self._closing[ids]) + 1
+            words = np.cumsum([len(self._words(part)) for part in some])
+            if len(ends) != words[-1]:
+                raise RuntimeError("words and their tokens do not match")
+            packed, start = ids.tobytes(), 0
+            for part, end in zip(some, (4 * ends[words - 1]).tolist(), strict=True):
+                self._known[part] = packed[start:end]
+                start = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [text.lower().split() if self._simple(text) else None for text in texts]
         known = self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        fresh = list({word for word in words if word not in known})
         if len(known) > REMEMBERED_WORDS:
             known.clear()
-            fresh = list(set(words))
-        for i in range(0, len(fresh), ENCODED_TOGETHER):
-            some = fresh[i : i + ENCODED_TOGETHER]
-            for word, got in zip(
-                some, self._tokenizer.encode_batch(some, add_special_tokens=False), strict=True
-            ):
-                known[word] = self._bytes(got.ids)
-        return b"".join(map(known.__getitem__, words))
+        self._learn(list(set().union(*filter(None, cut)).difference(known)))
+        out = []
+        for text, words in zip(texts, cut, strict=True):
+            if words is None:
+                ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(np.array(ids, dtype="<u4").tobytes())
+            else:
+                out.append(b"".join(map(known.__getitem__, words)))
+        return out
 
 
 class Packer:
@@ -189,11 +208,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE) ->
         end = np.array([END_ID], dtype="<u4").tobytes()
         held = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, doc_id in enumerate(ids):
-                encoded = encoder.encode(texts[i].as_py() or "") + end
-                packer.add(doc_id, encoded)
-                held += len(encoded)
+            for i in range(0, batch.num_rows, TEXTS_TOGETHER):
+                part = batch.slice(i, TEXTS_TOGETHER)
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for doc_id, ids in zip(
+                    part.column(0).to_pylist(), encoder.encode(texts), strict=True
+                ):
+                    packer.add(doc_id, ids + end)
+                    held += len(ids)
                 if held > 8_000_000:
                     yield packer.take()
                     held = 0
