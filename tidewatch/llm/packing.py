@@ -11,7 +11,9 @@ sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 REMEMBERED_WORDS = 400_000
 ENCODED_TOGETHER = 512
 TEXTS_TOGETHER = 256
+MEMORY = "packing_memory"
 # Signs from U+0080 to U+00BF that may count as letters, digits or spaces in one library only, and
 # a letter whose lower case is two characters.
 SIGNS = re.compile("[\x1c-\x1f\x80-\xbf\xd7\xf7\u0130]")
@@ -104,6 +107,14 @@ class WordEncoder:
         return out
 
 
+def remembered_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which keeps what earlier tasks have encoded."""
+    memory = sys.modules.setdefault(MEMORY, ModuleType(MEMORY)).__dict__
+    if path not in memory:
+        memory[path] = WordEncoder(path)
+    return memory[path]
+
+
 class Packer:
     """Sum-of-squares placement with ``counts[level]``, the number of open sequences at a level."""
 
@@ -203,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE) ->
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        encoder = WordEncoder(path)
+        encoder = remembered_encoder(path)
         packer = Packer(size, (context.partitionId() if context else 0) << 40)
         end = np.array([END_ID], dtype="<u4").tobytes()
         held = 0
