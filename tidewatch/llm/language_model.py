@@ -34,7 +34,7 @@ SYMBOLS = 65_000
 # A pair with at least this share of all pairs is looked up where it is read: at most 2**14 are.
 FREQUENT = 2.0**-14
 # Tokens of the texts a task looks at together, and pairs of a bucket, on average.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 PER_BUCKET = 16_000_000
 LEAST_BUCKETS = 64
 # Every tenth training text is held out of the estimates when the weights are learned.
