@@ -14,6 +14,7 @@ from tidewatch.operators.registry import Detector, build_detector, register_dete
 from tidewatch.operators.split import fit_split, fit_splits
 from tidewatch.plans.explain import explain_alerts
 from tidewatch.functions.scoring import normalize_weights
+from tidewatch.functions import trees
 from tidewatch.functions.trees import Forest, average_path, build_tree
 
 
@@ -236,3 +237,29 @@ def test_plan_has_one_shuffle_for_short_series(labelled):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "SinglePartition" not in plan
+
+
+def test_every_fit_row_can_enter_a_tree(spark):
+    """More fit rows than any pool: trees draw from all of them, alike on both branches."""
+    drawn = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 40_000)
+    whole = np.arange(40_000.0).reshape(-1, 1)
+    some = trees.may_be_drawn(drawn, np.full(40_000, 40_000))
+    assert 8192 < some.sum() < 40_000
+    taken = trees.grow_forest(whole, drawn, 40_000, "x")
+    part = trees.grow_forest(whole[some], drawn[some], 40_000, "x")
+    assert all(np.array_equal(a["cut"], b["cut"]) for a, b in zip(taken, part, strict=True))
+
+
+def test_ambiguous_keys_have_forests_of_their_own(spark, monkeypatch):
+    rows = spark.range(60).select(
+        F.when(F.col("id") < 30, "a|b").otherwise("a").alias("s"),
+        F.when(F.col("id") < 30, "c").otherwise("b|c").alias("t"),
+        "id", (F.col("id") * F.col("id") % 37).cast("double").alias("value"),
+    )
+    series = fit_split(rows, ["s", "t"], ["id"])
+    detector = ForestDetector()
+    model = detector.fit(series)
+    shipped = {r["id"]: r["score__isolation_forest"] for r in detector.score(series, model).collect()}
+    monkeypatch.setattr(forest_module, "BROADCAST_SERIES", 0)
+    joined = {r["id"]: r["score__isolation_forest"] for r in detector.score(series, model).collect()}
+    assert shipped == joined

@@ -92,8 +92,10 @@ def test_injection_is_reproducible(spark):
 
 def test_nothing_to_inject_and_too_much(spark):
     assert inject(series(spark), ["s"], 0).where("label").count() == 0
-    with pytest.raises(Exception, match="smaller than series length"):
-        select_indices(series(spark), ["s"], 400, 1).collect()
+    for n_anomalies in (400, 321):
+        with pytest.raises(Exception, match="more anomalies than places"):
+            select_indices(series(spark), ["s"], n_anomalies, 1).collect()
+    assert select_indices(series(spark), ["s"], 320, 1).count() == 320
     with pytest.raises(ValueError, match="unknown anomaly kinds"):
         inject(series(spark), ["s"], 5, ["odd"])
 
@@ -123,3 +125,12 @@ def test_benchmark_on_a_labelled_file(spark, tmp_path):
     path = write_csv(tmp_path / "b.csv", data, "timestamp,value,label")
     rows = run_benchmark(spark, BenchmarkConfig(dataset=LabelledCsvDataset(path))).collect()
     assert all(r["n_anomalies"] == 50 and r["recall"] > 0.7 for r in rows)
+
+
+def test_contextual_anomaly_replaces_an_earlier_drift(spark):
+    """In a series of zeros, its value is the rise over the zeros before it, whatever drifts there."""
+    rows = spark.range(400).select(
+        F.lit("s").alias("s"), F.col("id").alias("idx"), F.lit(400).cast("bigint").alias("n"), F.lit(0.0).alias("value")
+    )
+    found = inject(rows, ["s"], 200, ("contextual", "drift"), 7).where("kind = 'contextual'")
+    assert found.where("value < 8 or value >= 15").count() == 0

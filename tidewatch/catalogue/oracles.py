@@ -139,7 +139,7 @@ drift as (select stream, idx + off as idx, sum((5.0 + 5.0 * {draw("'43'", "'drif
    from (select stream, idx, unnest([0, 1, 2, 3, 4]) as off from kinds where kind = 'drift') z group by 1, 2)
 select x.event_id, round((case when kind = 'point' then value + {sign} * (20.0 + 20.0 * {up["point"]})
      when kind = 'contextual' then coalesce(context, value) + (8.0 + 7.0 * {up["contextual"]})
-     else value end) + coalesce(shift, 0.0), 6) as value,
+     else value end) + case when kind = 'contextual' then 0.0 else coalesce(shift, 0.0) end, 6) as value,
    kind is not null or shift is not null as label {columns}
 from x left join kinds using (stream, idx) left join ctx using (stream, idx) left join drift using (stream, idx)
 """

@@ -706,9 +706,10 @@ def forest_flags(spark, sf_dir):
 
 @query
 def forest_embeddings(spark, sf_dir):
-    """A forest over eight dimensions of the embeddings, one series per label."""
+    """A forest over all dimensions of the embeddings, one series per label."""
     vectors = table(spark, sf_dir, "embeddings")
-    dims = [f"d{i}" for i in range(8)]
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    dims = [f"d{i}" for i in range(width)]
     rows = vectors.select(
         "label",
         "vec_id",

@@ -97,7 +97,7 @@ class MessageSourceConfig(SourceConfig):
     timestamp_field: str = "timestamp"
     value_field: str = "value"
     auto_offset_reset: str = "earliest"
-    max_messages: int = 500
+    max_messages: int | None = None
     source_type: ClassVar[str] = "kafka_json"
 
     def __post_init__(self) -> None:
@@ -107,7 +107,7 @@ class MessageSourceConfig(SourceConfig):
             self.auto_offset_reset in ("earliest", "latest"),
             f"unknown auto_offset_reset: {self.auto_offset_reset}",
         )
-        _require(self.max_messages > 0, "max_messages must be positive")
+        _require(self.max_messages is None or self.max_messages > 0, "max_messages must be positive")
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 
@@ -95,23 +96,49 @@ def build_tree(
     }
 
 
+def tree_draws(drawn: np.ndarray, tree: int) -> np.ndarray:
+    """Uniform 64-bit draws of rows for one tree, from the rows' hashes (SplitMix64)."""
+    step = np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = drawn.view(np.uint64) + step
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def may_be_drawn(drawn: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows of series of ``n`` fit rows that some tree can draw: a superset of all subsamples.
+
+    A tree takes the ``SUBSAMPLE`` smallest draws of all fit rows. Twice that many rows are expected
+    below the limit, so that fewer than ``SUBSAMPLE`` fall below it in one of 10**20 trees.
+    """
+    limit = np.minimum(2.0 * SUBSAMPLE / np.maximum(n, 1), 1.0) * 2.0**64
+    wanted = np.zeros(len(drawn), dtype=bool)
+    for tree in range(TREES):
+        wanted |= tree_draws(drawn, tree) < limit
+    return wanted
+
+
 def grow_forest(
     points: np.ndarray, drawn: np.ndarray, n: int, name: str
 ) -> list[dict[str, np.ndarray]]:
-    """The trees of one series, each from its own subsample without replacement.
+    """The trees of one series, each from its own subsample, drawn from all fit rows.
 
     ``points`` and their hashes ``drawn`` may come in any order; ``n`` is the length of the fit
-    window they were drawn from. The same points and name always grow the same forest.
+    window. The same rows and name always grow the same forest, and rows that no tree can draw may
+    be left out.
     """
-    points = points[np.lexsort((*points.T, drawn))]
+    order = np.lexsort((*points.T, drawn))
+    points, drawn = points[order], drawn[order]
     seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
     rng = np.random.default_rng(seed)
     size = min(SUBSAMPLE, n, len(points))
     limit = math.ceil(math.log2(max(size, 2)))
-    return [
-        build_tree(points[rng.choice(len(points), size, replace=False)], rng, limit)
-        for _ in range(TREES)
-    ]
+    trees = []
+    for tree in range(TREES):
+        draws = tree_draws(drawn, tree)
+        taken = np.argpartition(draws, size - 1)[:size] if size else np.zeros(0, dtype=np.int64)
+        trees.append(build_tree(points[taken[np.argsort(draws[taken])]], rng, limit))
+    return trees
 
 
 def grow_from_table(
@@ -119,7 +146,7 @@ def grow_from_table(
 ) -> list[dict[str, np.ndarray]]:
     """``grow_forest`` for rows of one series with its keys, features, ``drawn`` and ``n``."""
     points = np.column_stack([table[f].to_numpy().astype(np.float64) for f in features])
-    name = "|".join([str(seed), *[str(table[k][0].as_py()) for k in keys]])
+    name = json.dumps([seed, *[str(table[k][0].as_py()) for k in keys]])
     return grow_forest(points, table["drawn"].to_numpy(), table["n"][0].as_py(), name)
 
 

@@ -1,8 +1,8 @@
 """Isolation forest for every series at once.
 
 Follows Liu, Ting and Zhou, "Isolation Forest" (2008): each tree isolates a small random subsample
-with random cuts, and rows that need few cuts score as anomalous. Spark thins each series to a pool
-of bounded size and brings pools, forests and rows together; the only Python is the tree itself.
+with random cuts, and rows that need few cuts score as anomalous. Each tree draws its rows from all
+fit rows by hash. Spark brings rows and forests together; the only Python is the tree itself.
 """
 
 from __future__ import annotations
@@ -21,16 +21,13 @@ from pyspark.sql import types as T
 
 from tidewatch.functions import trees as _trees
 from tidewatch.functions.scoring import min_max
-from tidewatch.functions.trees import NODE_ARRAYS, SUBSAMPLE, Forest, grow_from_table
+from tidewatch.functions.trees import NODE_ARRAYS, Forest, grow_from_table, may_be_drawn
 from tidewatch.operators.split import Series
 from tidewatch.session import settle
 
 # The tree code travels with the tasks: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(_trees)
 
-# Rows drawn per series before the trees take their subsamples from them: 32 subsamples, so that two
-# trees share about 3% of their rows.
-POOL_ROWS = 32 * SUBSAMPLE
 # A forest is about a megabyte, so this many series can be shipped to every task.
 BROADCAST_SERIES = 64
 # Rows one task scores at a time when forests are joined to the rows instead.
@@ -47,21 +44,29 @@ _NODES = [
 ]
 
 
-def _unit(hashed: Column) -> Column:
-    """The top 53 bits of a hash as a number in [0, 1)."""
-    return F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)
+def with_draws(series: Series, seed: int) -> DataFrame:
+    """Rows with ``drawn``, the hash that decides which trees take them."""
+    return series.rows.withColumn(
+        "drawn", F.xxhash64(F.lit(seed), *series.keys, F.col(series.order[-1]))
+    )
 
 
-def with_pool(series: Series, seed: int) -> DataFrame:
-    """Rows with ``drawn``, a hash, and ``pooled``: a fit row that the hash keeps.
+def fit_candidates(series: Series, features: Sequence[str], seed: int) -> DataFrame:
+    """Fit rows with ``drawn``; of a series longer than one task, those that some tree draws.
 
-    However long a series is, about ``POOL_ROWS`` of its rows are kept; of a short one, all.
+    Every fit row takes part in the draws of every tree, whatever the length of the series.
     """
-    drawn = F.xxhash64(F.lit(seed), *series.keys, F.col(series.order[-1]))
-    rate = F.lit(float(POOL_ROWS)) / F.col("n")
-    return series.rows.withColumn("drawn", drawn).withColumn(
-        "pooled", F.col("is_fit") & (_unit(F.col("drawn")) < rate)
-    )
+    columns = [*series.keys, *features, "n", "drawn"]
+    rows = with_draws(series, seed).where("is_fit").select(*columns)
+    if series.compact:
+        return rows
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn, n = (batch.column(name).to_numpy() for name in ("drawn", "n"))
+            yield batch.filter(pa.array(may_be_drawn(drawn, n)))
+
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def _in_own_tasks(df: DataFrame, series: Series) -> DataFrame:
@@ -76,7 +81,7 @@ def _in_own_tasks(df: DataFrame, series: Series) -> DataFrame:
 def fit_forest(series: Series, features: Sequence[str], seed: int = 42) -> DataFrame:
     """Forests as one row of node arrays per series and tree."""
     keys, features = list(series.keys), list(dict.fromkeys(features))
-    pool = with_pool(series, seed).where("pooled").select(*keys, *features, "n", "drawn")
+    pool = fit_candidates(series, features, seed)
     key_fields = [pool.schema[k] for k in keys]
     schema = T.StructType([*key_fields, *_NODES])
 
@@ -101,12 +106,12 @@ def fit_and_score_forest(
     For series that fit one task. Gives the same scores as ``fit_forest`` and ``score_forest``.
     """
     keys, features = list(series.keys), list(dict.fromkeys(features))
-    rows = with_pool(series, seed)
+    rows = with_draws(series, seed)
     kept = series.rows.columns
     schema = T.StructType([*series.rows.schema.fields, T.StructField(output, T.DoubleType())])
 
     def score(table: pa.Table) -> pa.Table:
-        trees = grow_from_table(table.filter(table["pooled"]), keys, features, seed)
+        trees = grow_from_table(table.filter(table["is_fit"]), keys, features, seed)
         forest = Forest(trees, table["n"][0].as_py())
         points = np.column_stack([table[f].to_numpy().astype(np.float64) for f in features])
         scores = pa.array(forest.sample_scores(points), pa.float64())
@@ -132,7 +137,8 @@ def _score_with_broadcast(
     df: DataFrame, keys: list[str], forest: DataFrame, outputs: Mapping[str, Sequence[str]]
 ) -> DataFrame:
     """For at most ``BROADCAST_SERIES`` forests, which every task gets as Arrow tables."""
-    label = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    # Unambiguous for any keys, null ones included.
+    label = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
     nodes = forest.select(label.alias("label"), *[f.name for f in _NODES]).toArrow()
     grouped = {
         name: nodes.filter(pc.equal(nodes["label"], name)).drop_columns(["label"])

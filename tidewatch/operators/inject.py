@@ -41,10 +41,14 @@ def baseline_series(spark: SparkSession, n: int, base: float = 20.0, seed: int =
     )
 
 
-def in_pool(index: Column, n: Column) -> Column:
+def pool_bounds(n: Column) -> tuple[Column, Column]:
     """Injections stay clear of the first and last tenth of a series."""
     start = F.greatest(F.lit(10), F.floor(n * F.lit(0.1)))
-    end = F.greatest(start + 1, F.floor(n * F.lit(0.9)))
+    return start, F.greatest(start + 1, F.floor(n * F.lit(0.9)))
+
+
+def in_pool(index: Column, n: Column) -> Column:
+    start, end = pool_bounds(n)
     return (index >= start) & (index < end)
 
 
@@ -53,17 +57,21 @@ def select_indices(
 ) -> DataFrame:
     """``n_anomalies`` distinct indices of each series, drawn from its pool.
 
+    Asking for more than the pool holds is an error.
+
     ``rows`` has the keys, ``idx`` and the series length ``n``. The cut-off draw is found as an order
     statistic, so a long series is neither sorted nor gathered.
     """
     keys = list(keys)
-    too_many = F.raise_error(F.lit("n_anomalies must be smaller than series length")).cast("boolean")
-    fits = F.when(F.lit(n_anomalies) < F.col("n"), True).otherwise(too_many)
+    start, end = pool_bounds(F.col("n"))
+    too_many = F.raise_error(F.lit("more anomalies than places in the middle of the series"))
+    fits = F.when(F.lit(n_anomalies) <= F.least(end, F.col("n")) - start, True)
+    fits = fits.otherwise(too_many.cast("boolean"))
     drawn = rows.where(fits & in_pool(F.col("idx"), F.col("n"))).select(
         *keys, "idx", uniform(seed, "pick", *[F.col(k) for k in keys], F.col("idx")).alias("pick")
     )
     pools = settle(drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    last = F.least(F.lit(n_anomalies), F.col("n")) - 1
+    last = F.lit(n_anomalies) - 1
     cutoffs = order_statistics(drawn, keys, ["pick", "idx"], rank_targets(pools, keys, {"cut": last}))
     cutoffs = cutoffs.select(*keys, F.struct("pick", "idx").alias("cutoff"))
     return (
@@ -159,11 +167,14 @@ def inject(
         )
         .otherwise(value)
     )
+    # A contextual anomaly replaces the value, together with what an earlier drift has added to it.
+    keeps_shift = F.coalesce(F.col("kind") != "contextual", F.lit(True)) & F.col("shift").isNotNull()
+    shift = F.when(keeps_shift, F.col("shift")).otherwise(F.lit(0.0))
     touched = F.col("kind").isNotNull() | F.col("shift").isNotNull()
     return (
         rows.join(changes, [*keys, "idx"], "left")
         .withColumn("label", touched)
-        .withColumn("value", replaced + F.coalesce("shift", F.lit(0.0)))
+        .withColumn("value", replaced + shift)
         .drop("context", "shift")
     )
 

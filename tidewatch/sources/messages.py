@@ -19,14 +19,16 @@ def kafka_stream(spark: SparkSession, config: MessageSourceConfig) -> DataFrame:
     The checkpoint of the streaming query takes the place of the consumer group: offsets are
     committed after the batch was written.
     """
-    return (
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", config.bootstrap_servers)
         .option("subscribe", config.topic)
         .option("startingOffsets", config.auto_offset_reset)
-        .option("maxOffsetsPerTrigger", config.max_messages)
-        .load()
-        .select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset")
+    )
+    if config.max_messages is not None:
+        reader = reader.option("maxOffsetsPerTrigger", config.max_messages)
+    return reader.load().select(
+        F.col("value").cast("string").alias("value"), "topic", "partition", "offset"
     )
 
 

@@ -124,4 +124,5 @@ def observations(
 
 def feature(key: str) -> Column:
     """A payload field as a double: null when absent, an error when it is not a number."""
-    return F.variant_get(F.parse_json("payload"), f"$.{key}", "double")
+    quote = '"' if "'" in key else "'"
+    return F.variant_get(F.parse_json("payload"), f"$[{quote}{key}{quote}]", "double")
