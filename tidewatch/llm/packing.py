@@ -29,7 +29,7 @@ SEQUENCE = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a task remembers; beyond it forgets them and starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 120_000
 ENCODED_TOGETHER = 512
 TEXTS_TOGETHER = 256
 MEMORY = "packing_memory"
@@ -227,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE) ->
                 ):
                     packer.add(doc_id, ids + end)
                     held += len(ids)
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield packer.take()
                     held = 0
         packer.close()
