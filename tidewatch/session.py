@@ -14,6 +14,8 @@ _SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     # INT96 carries no min/max statistics, so time filters could not skip row groups.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Rows may hold long texts: small batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
