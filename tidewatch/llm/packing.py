@@ -29,7 +29,7 @@ SEQUENCE = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a task remembers; beyond it forgets them and starts anew.
-REMEMBERED_WORDS = 120_000
+REMEMBERED_WORDS = 200_000
 ENCODED_TOGETHER = 512
 TEXTS_TOGETHER = 256
 MEMORY = "packing_memory"
