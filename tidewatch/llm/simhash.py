@@ -8,7 +8,7 @@ from equi-joins: fingerprints that differ in at most two bits agree on all but t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -32,31 +32,39 @@ BLOCKS = 4
 PROBED_ABOVE = 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles of a text, as a signed number.
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text, in order, at most 65,536 at a time.
 
     ``bytes.lower`` and ``bytes.split`` treat exactly A-Z and the six ASCII white spaces.
     """
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = list(accumulate(len(word) + 1 for word in words))
     starts = [0, *ends[:-1]]
     last = ends[shingle - 1 :] or ends[-1:]
-    total = len(last)
-    set_bits = np.zeros(64, dtype=np.int64)
-    for i in range(0, total, 65536):
+    for i in range(0, len(last), 65536):
         spans = zip(starts[i : i + 65536], last[i : i + 65536], strict=False)
-        hashes = np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in spans], dtype="<u8")
+        yield np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in spans], dtype="<u8")
+
+
+def bits_of(blocks: Iterable[np.ndarray]) -> int:
+    """The bits set in over half the hashes, as a signed number; 0 of none."""
+    total, set_bits = 0, np.zeros(64, dtype=np.int64)
+    for hashes in blocks:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits += bits.sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     packed = np.packbits(set_bits * 2 > total, bitorder="little")
     return int(packed.view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles of a text, as a signed number."""
+    return bits_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint as a long, of every row of ``docs``."""
 
@@ -89,7 +97,7 @@ def pivot_table(prints: DataFrame) -> DataFrame:
     return prints.withColumns({"p0": packed(near[:8]), "p1": packed(near[8:])})
 
 
-def _pivots_allow(distance: int) -> str:
+def pivots_allow(distance: int) -> str:
     """Largest coordinate difference at most ``distance``."""
     terms = [
         f"abs((shiftright(a.{p}, {8 * i}) & 127) - (shiftright(b.{p}, {8 * i}) & 127)) <= {distance}"
@@ -119,7 +127,7 @@ def links(prints: DataFrame) -> DataFrame:
     shared = rows.join(crowded, ["tag", "key"], "left_anti")
     a, b = shared.alias("a"), shared.alias("b")
     same = F.expr(
-        f"a.tag = b.tag and a.key = b.key and a.fp < b.fp and {_pivots_allow(DISTANCE)} "
+        f"a.tag = b.tag and a.key = b.key and a.fp < b.fp and {pivots_allow(DISTANCE)} "
         f"and bit_count(a.fp ^ b.fp) <= {DISTANCE}"
     )
     found = a.join(b, same).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
