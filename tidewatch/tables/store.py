@@ -134,6 +134,10 @@ class TableStore:
     def runs(self) -> DataFrame:
         return latest_runs(self.read("run_events"))
 
+    def read_valid(self, table: str) -> DataFrame:
+        """The stored rows but those of failed runs."""
+        return without_failed(self.read(table), self.read("run_events"))
+
     # Observations
 
     def append_observations(self, rows: DataFrame, batch_id: str) -> DataFrame:
@@ -141,12 +145,15 @@ class TableStore:
 
         Fingerprints contain the time, so stored keys are read only within the new rows' time range.
         """
-        stored = self.read("observations").where(F.col("batch_id") != batch_id)
+        stored = self.read_valid("observations").where(F.col("batch_id") != batch_id)
         fresh = new_observations(rows, stored)
         return self.write_batch("observations", batch_id, fresh)
 
     def observations(self) -> DataFrame:
-        return self.read("observations")
+        return self.read_valid("observations")
+
+    def scores(self) -> DataFrame:
+        return self.read_valid("scores")
 
     # Scores and alerts
 
@@ -155,13 +162,13 @@ class TableStore:
 
     def upsert_alerts(self, rows: DataFrame, batch_id: str) -> DataFrame:
         """Store a version of each alert; returns them with ``inserted``: no earlier version."""
-        known = self.read("alert_versions").where(F.col("batch_id") != batch_id)
+        known = self.read_valid("alert_versions").where(F.col("batch_id") != batch_id)
         versions = rows.withColumn("event_at", F.lit(now()))
         written = self.write_batch("alert_versions", batch_id, versions)
         return mark_inserted(written, known)
 
     def alerts(self) -> DataFrame:
-        return latest_alerts(self.read("alert_versions"))
+        return latest_alerts(self.read_valid("alert_versions"))
 
     # Maintenance
 
@@ -186,6 +193,15 @@ class TableStore:
 # those columns reaches the scan.
 
 
+def without_failed(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """``rows`` but those of runs whose last status is ``failed``."""
+    keys = ["stream_id", "run_id"]
+    last = events.groupBy(*keys).agg(F.max_by("status", "event_at").alias("status"))
+    return rows.join(last.where(F.col("status") == "failed").select(*keys), keys, "left_anti").select(
+        *rows.columns
+    )
+
+
 def latest_streams(versions: DataFrame) -> DataFrame:
     """Current settings of each stream, with the times of its first and last version."""
     current = F.max_by(F.struct("source_type", "config"), "event_at").alias("current")
