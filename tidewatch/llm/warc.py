@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import numbered, table, travels_with_tasks
+from tidewatch.llm.common import table, travels_with_tasks
 from tidewatch.session import configure, scratch_root, settle
 
 travels_with_tasks(__name__)
@@ -31,27 +31,31 @@ RECORD = "file long, offset long, length long, page_id long, digest string"
 
 
 def warc_records(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """``page_id``, ``file``, ``position`` and ``record``, the WARC record of a page as text.
+    """``page_id``, ``file``, ``place`` and ``record``, the WARC record of a page as text.
 
-    Pages are ordered by id (null first), address and text, a thousand to a file. Null addresses and
-    texts are empty; line breaks in addresses become spaces. Repeated rows are records like others.
+    A hash of id, address and text deals pages to files of about a thousand, so that one shuffle both
+    gathers and orders them. ``place`` orders a file: by id (null first), digest and copy. Null
+    addresses and texts are empty; line breaks in addresses become spaces. Repeated rows are numbered
+    copies, each a record dealt on its own.
     """
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
-    tie = F.xxhash64("url", "html")
-    places = numbered(rows.select("page_id", tie.alias("tie")), [F.col("page_id"), F.col("tie")], "position")
-    # Repeated rows have the same id and hash: they take their places in turn.
-    places = places.groupBy("page_id", "tie").agg(F.sort_array(F.collect_list("position")).alias("places"))
-    same = F.col("r.page_id").eqNullSafe(F.col("p.page_id")) & (F.col("r.tie") == F.col("p.tie"))
-    if places.where(F.size("places") > 1).isEmpty():
-        placed = rows.withColumn("tie", tie).alias("r").join(places.alias("p"), same)
+    tie = F.sha2(F.concat_ws("\n", "url", "html").cast("binary"), 256)
+    # Only where ids repeat can rows repeat: ids alone tell, mostly without reading a text.
+    if rows.groupBy("page_id").count().where("count > 1").isEmpty():
+        rows = rows.select("*", tie.alias("tie"), F.lit(0).cast("long").alias("copy"))
     else:
-        placed = rows.withColumn("tie", tie).dropDuplicates(["page_id", "tie"]).alias("r").join(places.alias("p"), same)
-    placed = placed.select("r.page_id", "url", "html", F.explode("places").alias("position"))
+        first = [F.first(c).alias(c) for c in ("url", "html")]
+        rows = rows.groupBy("page_id", tie.alias("tie")).agg(*first, F.count("*").alias("copies"))
+        copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+        rows = rows.select("page_id", "url", "html", "tie", copy.alias("copy"))
+    files = max(1, -(-pages.count() // RECORDS_PER_FILE))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
-        F.col("position").cast("string"),
+        F.col("tie"),
+        F.lit(":"),
+        F.col("copy").cast("string"),
         F.lit(":"),
         F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
@@ -60,20 +64,29 @@ def warc_records(pages: DataFrame, date: str = DATE) -> DataFrame:
         F.octet_length("html").cast("string"),
         F.lit("\r\n\r\n"),
     )
-    return placed.select(
+    return rows.select(
         "page_id",
-        F.floor(F.col("position") / RECORDS_PER_FILE).cast("long").alias("file"),
-        "position",
+        F.pmod(F.xxhash64("page_id", "tie", "copy"), F.lit(files)).cast("long").alias("file"),
+        F.struct("page_id", "tie", "copy").alias("place"),
         F.concat(head, F.col("html"), F.lit("\r\n\r\n")).alias("record"),
     )
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """One WARC file per ``file`` in ``path``, records in order of ``position``."""
+def write_warc(records: DataFrame, path: str, replicas: dict[str, Column] | None = None) -> None:
+    """One gzipped WARC file per ``file`` in ``path``, records in order of ``place``.
+
+    ``replicas`` gives the text of the record for each of several archives; these are folders
+    ``replica=<name>`` of ``path``, all written from one shuffle.
+    """
+    folders, placed = ["file"], records.repartition("file")
+    if replicas:
+        texts = [F.struct(F.lit(name).alias("replica"), text.alias("record")) for name, text in replicas.items()]
+        placed = placed.select("file", "place", F.inline(F.array(*texts)))
+        folders = ["replica", "file"]
     # The text writer ends every line with a line feed: the last byte of each record.
     line = F.expr("substring(record, 1, length(record) - 1)").alias("value")
-    placed = records.repartition("file").sortWithinPartitions("file", "position")
-    placed.select(line, "file").write.partitionBy("file").option("lineSep", "\n").text(path)
+    lines = placed.sortWithinPartitions(*folders, "place").select(line, *folders)
+    lines.write.partitionBy(*folders).option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def parse_records(content: bytes) -> Iterator[tuple[int, bytes]]:
@@ -93,17 +106,24 @@ def parse_records(content: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``file, offset, length, page_id, digest`` of the records in WARC files."""
+    """``file, offset, length, page_id, digest`` of the records in WARC files, gzipped or not.
+
+    Offsets are those of the unpacked file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
         import hashlib
         import re
 
-        named = re.compile(rb"<urn:page:\d+:(-?\d+)>")
+        named = re.compile(rb"<urn:page:[0-9a-f]+:\d+:(-?\d+)>")
         for batch in batches:
             for i in range(batch.num_rows):
                 out = []
-                for offset, record in parse_records(batch.column("content")[i].as_py()):
+                content = batch.column("content")[i].as_py()
+                if content.startswith(b"\x1f\x8b"):
+                    content = gzip.decompress(content)
+                for offset, record in parse_records(content):
                     found = named.search(record[: record.find(b"\r\n\r\n")])
                     page = int(found[1]) if found else None
                     digest = hashlib.sha256(record).hexdigest()
@@ -192,14 +212,11 @@ def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages twice, one copy with a wrong date in some records, and find those."""
     configure(spark)
     records = warc_records(table(spark, sf_dir, "pages"))
-    wrong = F.when(F.col("page_id") % 97 == 5, F.lit("WARC-Date: 2000-01-07"))
-    good = F.lit("WARC-Date: 2000-01-01")
-    rotten = records.withColumn("record", F.replace("record", good, F.coalesce(wrong, good)))
+    wrong = F.replace("record", F.lit("WARC-Date: 2000-01-01"), F.lit("WARC-Date: 2000-01-07"))
+    rotten = F.when(F.col("place.page_id") % 97 == 5, wrong).otherwise(F.col("record"))
     root = f"{scratch_root(spark)}/settled/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    replicas = []
-    for name, copy in (("ours", records), ("theirs", rotten)):
-        write_warc(copy, f"{root}/{name}")
-        replicas.append(settle(read_warc(spark, f"{root}/{name}")))
+    write_warc(records, root, {"ours": F.col("record"), "theirs": rotten})
+    replicas = [settle(read_warc(spark, f"{root}/replica={name}")) for name in ("ours", "theirs")]
     found = audit(*replicas)
     return replicas[0].join(found, ["file", "offset"], "left").select(
         "page_id", "file", "offset", "length", F.col("digest").alias("sha256"), "damage"
