@@ -166,6 +166,30 @@ def test_line_dedup_removes_shared_passages(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_removes_short_passages_whole(spark):
+    """Passages of 1 to 6 short lines, over 50 words in all, between unrelated lines, and runs of equal lines."""
+    texts, want = [], []
+    for m in range(1, 7):
+        words = 60 // m + 1
+        passage = [" ".join(f"{m}{k}{w}"[:4] for w in range(words)) for k in range(m)]
+        assert all(len(line) < 300 for line in passage) and sum(len(x.split()) for x in passage) > 50
+        for copy in range(2):
+            own = [f"unrelated {m} {copy} {k} {part}" for part in ("before", "after") for k in range(2)]
+            texts.append("\n".join([*own[:2], *passage, *own[2:]]))
+            want.append("\n".join(own) if copy else texts[-1])
+    tiny = [str(k) for k in range(70)]
+    for copy in range(2):
+        texts.append("\n".join([f"head {copy}", *tiny, "", "", "as short as that", f"tail {copy}"]))
+        want.append(f"head {copy}\ntail {copy}" if copy else texts[-1])
+    line = "one line of ten words which stands here many times"
+    texts += ["\n".join([line] * 9), "a single line that others have as well, but short", "x\na single line that others have as well, but short\ny"]
+    want += ["\n".join([line] * 2), *texts[-2:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = line_dedup.dedup_lines(docs).collect()
+    assert [r["text"] for r in sorted(out)] == want
+    assert [r["removed_chunks"] for r in sorted(out)] == [int(w != t) for w, t in zip(want, texts, strict=True)]
+
+
 def minhash_by_definition(text: str) -> dict[int, tuple]:
     """Entries as tuples of k-mers and occurrence numbers, ranked by the operator's own hashes."""
     words = text.split()
