@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import order_stats
 from tidewatch.operators.order_stats import order_statistics, percentile_rank, ranked
-from tidewatch.operators.split import rank_targets
+from tidewatch.operators.mad import with_mad
+from tidewatch.operators.split import fit_split, rank_targets
 from tidewatch.session import settle
 
 
@@ -115,3 +116,23 @@ def test_percentile_bounds(p):
 
 def test_short_keys_are_sorted_in_one_task_only_while_short():
     assert order_stats.SORTABLE_ROWS <= 1_000_000
+
+
+@pytest.mark.parametrize("sortable", [10, 1_000_000])
+def test_nulls_have_no_rank_in_short_and_long_series(spark, sortable):
+    """Median and MAD of the values there are; a series of nulls keeps its rows, with null statistics."""
+    values = {"mixed": [None if i % 3 == 0 else float(i * 7 % 320) for i in range(320)], "empty": [None] * 40}
+    rows = [(key, i, v) for key, own in values.items() for i, v in enumerate(own)]
+    frame = settle(spark.createDataFrame(rows, "key string, id bigint, value double"))
+    series = fit_split(frame, ["key"], ["id"], sortable_rows=sortable)
+    assert series.compact == (sortable > 320)
+    out = with_mad(series, "value", "model").rows.collect()
+    assert len(out) == 360 and {r["key"]: r["n"] for r in out} == {"mixed": 256, "empty": 32}
+    known = sorted(v for v in values["mixed"][:256] if v is not None)
+    middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+    median = middle(known)
+    mad = middle(sorted(abs(v - median) for v in known))
+    found = {r["key"]: r["model"] for r in out}
+    assert (found["mixed"]["median"], found["mixed"]["mad"]) == (median, mad)
+    assert found["mixed"]["threshold"] is not None
+    assert found["empty"]["median"] is None and found["empty"]["threshold"] is None

@@ -395,4 +395,4 @@ _SQL = {
 
 def oracle_sql() -> dict[str, str]:
     """SQL per query. Forests draw their own random cuts, so their queries have none."""
-    return dict(_SQL)
+    return _SQL | {"label_quality_long": _SQL["label_quality"]}

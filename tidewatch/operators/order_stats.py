@@ -44,13 +44,14 @@ def order_statistics(
     """Rows of the requested ranks.
 
     ``targets`` has the key columns, ``stat`` (a name), ``rank`` (zero-based) and ``n`` (rows of
-    the key); it should derive from a settled table because it is scanned more than once.
+    the key); it should derive from a settled table because it is scanned more than once. Rows that
+    have null in the first ``order`` column have no rank, whatever the number of rows.
     ``largest`` is the largest ``n``, when the caller knows it. Returns the keys, ``stat`` and the
     ``order`` columns of the row that has that rank.
     """
     keys, order = list(keys), list(order)
     sortable_rows = SORTABLE_ROWS if sortable_rows is None else sortable_rows
-    rows = df.select(*keys, *order)
+    rows = df.select(*keys, *order).where(F.col(order[0]).isNotNull())
     if largest is None:
         largest = targets.agg(F.max("n")).first()[0]
     if largest is None or largest <= sortable_rows:

@@ -22,6 +22,10 @@ from tidewatch.session import settle
 MIN_ROWS = 10
 
 
+def _sortable(rows: int | None) -> int:
+    return order_stats.SORTABLE_ROWS if rows is None else rows
+
+
 def series_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Row count ``n`` per series."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -58,12 +62,12 @@ class Series:
     order: tuple[str, ...]
     count: int
     largest: int
-    fit_sizes: DataFrame | None = None
+    sortable_rows: int | None = None
 
     @property
     def compact(self) -> bool:
         """Every series can be sorted in one task."""
-        return self.largest <= order_stats.SORTABLE_ROWS
+        return self.largest <= _sortable(self.sortable_rows)
 
     @property
     def fit_rows(self) -> DataFrame:
@@ -85,28 +89,36 @@ class Series:
     def with_fit_ranks(self, value: str, ranks: Mapping[str, Column]) -> Series:
         """Attach the values that have the given ranks among the fit rows.
 
-        Rank expressions may use ``n``. Each result column is named after its rank.
+        Null values have no rank. Rank expressions may use ``n``, here the fit rows whose value is not
+        null; without any, results are null. Each result column is named after its rank.
         """
         if self.compact:
-            among = Window.partitionBy(*self.keys, "is_fit").orderBy(value)
+            among = Window.partitionBy(*self.keys, "is_fit").orderBy(F.col(value).asc_nulls_last())
+            ranked = F.count(F.when(F.col("is_fit"), F.col(value)))
             placed = self.with_rows(
                 self.rows.withColumn("place", (F.row_number().over(among) - 1).cast("bigint"))
+                .withColumn("n_rows", F.col("n"))
+                .withColumn("n", ranked.over(Window.partitionBy(*self.keys)))
             )
             picked = {
                 name: F.max(F.when(F.col("is_fit") & (F.col("place") == rank), F.col(value)))
                 for name, rank in ranks.items()
             }
             attached = placed.with_aggregates(picked)
-            return attached.with_rows(attached.rows.drop("place"))
-        targets = rank_targets(self.fit_sizes, self.keys, ranks)
-        found = order_statistics(self.fit_rows, self.keys, [value], targets, self.largest)
+            rows = attached.rows.withColumn("n", F.col("n_rows")).drop("place", "n_rows")
+            return attached.with_rows(rows)
+        sizes = settle(self.fit_rows.groupBy(*self.keys).agg(F.count(value).alias("n")))
+        targets = rank_targets(sizes, self.keys, ranks)
+        found = order_statistics(
+            self.fit_rows, self.keys, [value], targets, self.largest, self.sortable_rows
+        )
         wide = found.groupBy(*self.keys).agg(
             *[F.max(F.when(F.col("stat") == name, F.col(value))).alias(name) for name in ranks]
         )
-        return self._joined(wide)
+        return self._joined(wide, "left")
 
-    def _joined(self, table: DataFrame) -> Series:
-        return self.with_rows(self.rows.join(settle(table), list(self.keys)))
+    def _joined(self, table: DataFrame, how: str = "inner") -> Series:
+        return self.with_rows(self.rows.join(settle(table), list(self.keys), how))
 
 
 def whole_series(df: DataFrame, keys: Sequence[str]) -> Series:
@@ -119,7 +131,7 @@ def whole_series(df: DataFrame, keys: Sequence[str]) -> Series:
         return Series(rows, tuple(keys), (), count, largest or 0)
     sizes = settle(sizes)
     rows = df.join(sizes, list(keys)).withColumn("is_fit", F.lit(True))
-    return Series(rows, tuple(keys), (), count, largest, sizes)
+    return Series(rows, tuple(keys), (), count, largest)
 
 
 def fit_splits(
@@ -142,18 +154,23 @@ def fit_splits(
 
 
 def fit_split(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], fit_ratio: float = 0.8
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fit_ratio: float = 0.8,
+    sortable_rows: int | None = None,
 ) -> Series:
     """Mark the earliest rows of each series as its fit window.
 
     ``order`` is time first and a unique column last. Series that are too short are left out; use
-    ``too_short(series_sizes(...))`` to report them.
+    ``too_short(series_sizes(...))`` to report them. A series with more than ``sortable_rows`` rows
+    (``order_stats.SORTABLE_ROWS`` if none) is not sorted in one task; results do not depend on it.
     """
     keys, order = list(keys), list(order)
     sizes = series_sizes(df, keys).where(F.col("n") >= MIN_ROWS)
     count, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
     shape = tuple(keys), tuple(order), count, largest or 0
-    if (largest or 0) <= order_stats.SORTABLE_ROWS:
+    if (largest or 0) <= _sortable(sortable_rows):
         whole = Window.partitionBy(*keys)
         rows = (
             df.withColumn("place", F.row_number().over(whole.orderBy(*order)) - 1)
@@ -163,12 +180,18 @@ def fit_split(
             .withColumn("is_fit", F.col("place") < F.col("n"))
             .drop("place")
         )
-        return Series(rows, *shape)
+        return Series(rows, *shape, sortable_rows=sortable_rows)
     # Only the row at the edge of each fit window is looked up; the data itself is not sorted.
-    sizes = settle(sizes)
-    targets = rank_targets(sizes, keys, {"edge": fit_count(F.col("n"), fit_ratio)})
+    # Rows without a time come first and have no rank.
+    untimed = F.count_if(F.col(order[0]).isNull()).alias("untimed")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), untimed)
+    sizes = settle(sizes.where(F.col("n") >= MIN_ROWS))
+    fitted = fit_count(F.col("n"), fit_ratio)
+    edge = F.greatest(fitted - F.col("untimed"), F.lit(0))
+    targets = rank_targets(sizes, keys, {"edge": edge})
     here = F.struct(*[F.col(c).alias(c) for c in order])
-    edges = order_statistics(df, keys, order, targets, largest).select(*keys, here.alias("edge"))
-    edges = settle(edges.join(targets.select(*keys, F.col("rank").alias("n")), keys))
+    edges = order_statistics(df, keys, order, targets, largest, sortable_rows)
+    edges = edges.select(*keys, here.alias("edge"))
+    edges = settle(edges.join(sizes.select(*keys, fitted.alias("n")), keys))
     rows = df.join(edges, keys).withColumn("is_fit", here < F.col("edge")).drop("edge")
-    return Series(rows, *shape, edges.select(*keys, "n"))
+    return Series(rows, *shape, sortable_rows)
