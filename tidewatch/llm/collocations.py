@@ -14,6 +14,7 @@ same number, so the sum over shards is exact. Counts meet by a digest of 128 bit
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,14 @@ def blocks_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return settle(rows.mapInArrow(run, BLOCKS))
 
 
+def _packed(first: np.ndarray, last: np.ndarray) -> bytes:
+    return zlib.compress(first.tobytes() + last.tobytes(), 1)
+
+
+def _unpacked(sent: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sent), dtype=np.uint8).reshape(2, -1)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64 bits (the finalizer of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -233,7 +242,7 @@ def _scan(shard: DataFrame, active, scan: int, shards: int) -> DataFrame:
     """Counts in one shard of all phrases that may be active in this scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = active.value
+        first, last = _unpacked(active.value)
 
         def rows(n: int, lanes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             kind = pa.array(np.full(len(counts), n, dtype=np.int8))
@@ -258,7 +267,7 @@ def _texts(blocks: DataFrame, active) -> DataFrame:
     kinds = "n byte, h1 long, h2 long, lang string, phrase string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = active.value
+        first, last = _unpacked(active.value)
         mask = np.uint64((1 << SLOT_BITS) - 1)
 
         def rows(lang: str, n: int, lanes: np.ndarray, phrases: list[str]) -> pa.RecordBatch:
@@ -304,7 +313,7 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
     names = ["n", "h1", "h2", *slots, "born", "reach"]
     state, scan, end = None, 0, shards - 1
     while scan <= end:
-        active = spark.sparkContext.broadcast((first, last))
+        active = spark.sparkContext.broadcast(_packed(first, last))
         counts = _scan(blocks.where(F.col("shard") == scan % shards), active, scan, shards)
         fresh = counts.select(
             "n", "h1", "h2", *(F.lit(0).cast("long").alias(c) for c in slots),
@@ -324,6 +333,7 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
         # All shards seen without reaching: never to reach.
         alive = (F.col("reach") < NEVER) | (F.col("born") + (shards - 1) > scan)
         state = settle(merged.where(alive).select(*names))
+        active.destroy()
         new = state.where(F.col("reach") == scan)
         found = _new_slots(new)
         first[found] = np.minimum(first[found], scan)
@@ -335,11 +345,13 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
             raise RuntimeError("more scans than the table of active phrases can tell apart")
     total = sum((F.col(c) for c in slots[1:]), F.col(slots[0]))
     known = settle(state.where(F.col("reach") < NEVER).select("h1", "h2", total.alias("f")))
-    active = spark.sparkContext.broadcast((first, last))
+    active = spark.sparkContext.broadcast(_packed(first, last))
     told = _texts(blocks, active).join(known, ["h1", "h2"]).groupBy("h1", "h2")
     told = told.agg(*(F.any_value(c).alias(c) for c in ("lang", "n", "phrase", "f")))
     words = blocks.groupBy("lang").agg(F.sum("n_words").alias("words"))
-    return settle(told.select("lang", F.col("n").cast("int").alias("n"), "phrase", "f")), words
+    phrases = settle(told.select("lang", F.col("n").cast("int").alias("n"), "phrase", "f"))
+    active.destroy()
+    return phrases, words
 
 
 def _cut_score(a: Column, both: Column) -> Column:

@@ -178,7 +178,9 @@ def blocked_resources(links: DataFrame, rules: DataFrame) -> DataFrame:
     edges = links.select(
         resource_key(F.col("url")).alias("a"), resource_key(F.col("target")).alias("b")
     ).where("a is not null and b is not null")
-    member = settle(connected_components(edges).select(F.col("node").alias("key"), "component"))
+    hung = connected_components(edges).select(F.col("node").alias("key"), "component")
+    # The node that names a component hangs on none.
+    member = settle(hung.union(hung.select("component", "component").distinct()))
     named = ends.join(decide(ends, rules).where("verdict = 'block'"), ["host", "path"])
     blocked = named.select("key").distinct().join(member, "key").select("component").distinct()
     return settle(member.join(blocked, "component").select("key"))
