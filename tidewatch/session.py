@@ -59,10 +59,21 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_settled_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled._settled_at = path
+    return settled
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete one settled table, when nothing built on it will run any more."""
+    _delete(settled.sparkSession, settled._settled_at)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this application has settled. DataFrames built on it cannot be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_settled_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _settled_root(spark))
