@@ -8,8 +8,8 @@ it has seen every shard once. Counting ends when no active phrase has a shard le
 
 Tasks learn what is active from a table of fixed size, in which a hash of a phrase finds the first and
 the last scan at which phrases with this hash reached the threshold. A phrase may thus be counted
-too early or too often, never too little: counts are kept by shard, where a second look finds the
-same number, so the sum over shards is exact. Counts meet by a digest of 128 bits.
+too early or too often, never too little: its first full cycle gives the exact number, and of several
+cycles the largest number is that of a full one. Counts meet by a digest of 93 bits and the length.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import table, travels_with_tasks
-from tidewatch.session import configure, settle
+from tidewatch.session import configure, discard, settle
 
 travels_with_tasks(__name__)
 
@@ -31,11 +31,11 @@ LENGTHS = 4
 AT_LEAST = 30
 COVERED = 80
 BEST = 2000
-SHARDS = 3
+SHARDS = 2
 NO_LANG = "und"
 # Tokens of a block; with a slice more, its vocabulary stays below 2^21 and three words fit 63 bits.
-BLOCK_TOKENS = 1_500_000
-HELD_TOKENS = 2_000_000
+BLOCK_TOKENS = 400_000
+HELD_TOKENS = 1_000_000
 SLICE_BYTES = 1 << 19
 # Entries of the table that tells tasks what is active; sent whole, two bytes each.
 SLOT_BITS = 23
@@ -49,7 +49,7 @@ LETTERS = bytes(
 )
 
 BLOCKS = "shard int, lang string, lead int, n_words long, words array<binary>, codes array<int>"
-COUNTS = "n byte, h1 long, h2 long, fresh long"
+COUNTS = "h1 long, h2 int, fresh long"
 
 
 class BlockBuilder:
@@ -170,6 +170,12 @@ def _longer(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(phrase * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
+def _digest_columns(n: int, one: np.ndarray, two: np.ndarray) -> list[pa.Array]:
+    """``h1``, and as ``h2`` 29 bits more and the number of words."""
+    short = ((two >> np.uint64(35)) << np.uint64(3)) | np.uint64(n)
+    return [pa.array(one.view(np.int64)), pa.array(short.astype(np.uint32).view(np.int32))]
+
+
 class Block:
     """Phrases of one block that may be active or may have reached the threshold."""
 
@@ -186,15 +192,15 @@ class Block:
     def word_lane(self, lane: int, at: np.ndarray) -> np.ndarray:
         return self.lanes[lane][self.codes[at]]
 
-    def digest(self, n: int, at: np.ndarray) -> np.ndarray:
-        """Both lanes of the phrases of ``n`` words that start at ``at``."""
+    def digest(self, n: int, at: np.ndarray) -> list[pa.Array]:
+        """Digests of the phrases of ``n`` words that start at ``at``."""
         lanes = []
         for lane in (0, 1):
             value = self.word_lane(lane, at)
             for k in range(1, n):
                 value = _longer(value, self.word_lane(lane, at + k))
-            lanes.append(value.view(np.int64))
-        return np.array(lanes)
+            lanes.append(value)
+        return _digest_columns(n, *lanes)
 
     def walk(self, first: np.ndarray, last: np.ndarray) -> Iterator[tuple]:
         """``n``, starts of phrases whose parts may have reached, when their parts did, and they.
@@ -244,48 +250,44 @@ def _scan(shard: DataFrame, active, scan: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last = _unpacked(active.value)
 
-        def rows(n: int, lanes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            kind = pa.array(np.full(len(counts), n, dtype=np.int8))
-            columns = [kind, pa.array(lanes[0]), pa.array(lanes[1]), pa.array(counts.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, names=["n", "h1", "h2", "fresh"])
+        def rows(digests: list[pa.Array], counts: np.ndarray) -> pa.RecordBatch:
+            columns = [*digests, pa.array(counts.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "fresh"])
 
         for _, block in _each_block(batches):
             if scan < shards:
                 held = np.flatnonzero(block.counts)
-                yield rows(1, block.lanes[:, held].view(np.int64), block.counts[held])
+                yield rows(_digest_columns(1, *block.lanes[:, held]), block.counts[held])
             for n, at, lo, hi, _ in block.walk(first, last):
                 due = (lo < scan) & (scan <= hi.astype(np.int64) + shards)
                 where, counts = block.distinct(n, at[due])
                 if len(where):
-                    yield rows(n, block.digest(n, where), counts)
+                    yield rows(block.digest(n, where), counts)
 
     return shard.select("lang", "lead", "words", "codes").mapInArrow(run, COUNTS)
 
 
 def _texts(blocks: DataFrame, active) -> DataFrame:
-    """``n, h1, h2, lang, phrase`` of all phrases that may have reached, once a block."""
-    kinds = "n byte, h1 long, h2 long, lang string, phrase string"
+    """``h1, h2, lang, phrase`` of all phrases that may have reached, once a block."""
+    kinds = "h1 long, h2 int, lang string, phrase string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last = _unpacked(active.value)
         mask = np.uint64((1 << SLOT_BITS) - 1)
 
-        def rows(lang: str, n: int, lanes: np.ndarray, phrases: list[str]) -> pa.RecordBatch:
-            size = len(phrases)
-            columns = [
-                pa.array(np.full(size, n, dtype=np.int8)), pa.array(lanes[0]), pa.array(lanes[1]),
-                pa.array([lang] * size, type=pa.string()), pa.array(phrases, type=pa.string()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["n", "h1", "h2", "lang", "phrase"])
+        def rows(lang: str, digests: list[pa.Array], phrases: list[str]) -> pa.RecordBatch:
+            langs = pa.array([lang] * len(phrases), type=pa.string())
+            columns = [*digests, langs, pa.array(phrases, type=pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "lang", "phrase"])
 
         for lang, block in _each_block(batches):
             words = [word.decode() for word in block.words.to_pylist()]
             held = np.flatnonzero(first[block.lanes[0] & mask] < NEVER)
-            yield rows(lang, 1, block.lanes[:, held].view(np.int64), [words[i] for i in held])
+            yield rows(lang, _digest_columns(1, *block.lanes[:, held]), [words[i] for i in held])
             for n, at, _, _, own in block.walk(first, last):
                 where, _ = block.distinct(n, at[own < NEVER])
                 said = [" ".join(words[c] for c in block.codes[i : i + n]) for i in where.tolist()]
-                yield rows(lang, n, block.digest(n, where), said)
+                yield rows(lang, block.digest(n, where), said)
 
     return blocks.select("lang", "lead", "words", "codes").mapInArrow(run, kinds)
 
@@ -309,51 +311,55 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
     spark = docs.sparkSession
     blocks = blocks_of(docs, shards)
     first, last = (np.full(1 << SLOT_BITS, NEVER, dtype=np.uint8) for _ in range(2))
-    slots = [f"c{i}" for i in range(shards)]
-    names = ["n", "h1", "h2", *slots, "born", "reach"]
-    state, scan, end = None, 0, shards - 1
+    kinds = "h1 long, h2 int, total long"
+    state, done, scan, end = None, spark.createDataFrame([], kinds), 0, shards - 1
     while scan <= end:
         active = spark.sparkContext.broadcast(_packed(first, last))
         counts = _scan(blocks.where(F.col("shard") == scan % shards), active, scan, shards)
-        fresh = counts.select(
-            "n", "h1", "h2", *(F.lit(0).cast("long").alias(c) for c in slots),
-            F.lit(scan).alias("born"), F.lit(NEVER).alias("reach"), "fresh",
-        )
+        zero = F.lit(0).cast("long")
+        rows = counts.select("h1", "h2", zero.alias("total"), "fresh", F.lit(scan).alias("born"))
         if state is not None:
-            fresh = fresh.union(state.select(*names, F.lit(0).cast("long").alias("fresh")))
-        merged = fresh.groupBy("n", "h1", "h2").agg(
-            F.sum("fresh").alias("fresh"), *(F.max(c).alias(c) for c in slots),
-            F.min("born").alias("born"), F.min("reach").alias("reach"),
-        )
-        now = slots[scan % shards]
-        merged = merged.withColumn(now, F.greatest("fresh", now)).drop("fresh")
-        total = sum((F.col(c) for c in slots[1:]), F.col(slots[0]))
-        unseen = (F.col("reach") == NEVER) & (total >= at_least)
-        merged = merged.withColumn("reach", F.when(unseen, scan).otherwise(F.col("reach")))
+            rows = rows.union(state.select("h1", "h2", "total", zero.alias("fresh"), "born"))
+        merged = rows.groupBy("h1", "h2").agg(
+            F.sum("total").alias("before"), F.sum("fresh").alias("fresh"), F.min("born").alias("born")
+        )
+        merged = merged.withColumn("total", F.col("before") + F.col("fresh"))
         # All shards seen without reaching: never to reach.
-        alive = (F.col("reach") < NEVER) | (F.col("born") + (shards - 1) > scan)
-        state = settle(merged.where(alive).select(*names))
+        seen_all = F.col("born") + (shards - 1) <= scan
+        held = settle(merged.where(~seen_all | (F.col("total") >= at_least)).drop("fresh"))
         active.destroy()
-        new = state.where(F.col("reach") == scan)
+        if state is not None:
+            discard(state)
+        reached = held.where((F.col("before") < at_least) & (F.col("total") >= at_least))
+        # A phrase that was counted too often may reach again: only the first time counts.
+        new = settle(reached.join(done, ["h1", "h2"], "left_anti").select("h1", "h2"))
         found = _new_slots(new)
         first[found] = np.minimum(first[found], scan)
         last[found] = scan
-        if not new.where(F.col("n") < LENGTHS).isEmpty():
+        if not new.where(_length() < LENGTHS).isEmpty():
             end = max(end, scan + shards)
+        done = done.union(settle(held.where(seen_all).select("h1", "h2", "total")))
+        state = settle(held.where(~seen_all).select("h1", "h2", "total", "born"))
+        discard(held)
         scan += 1
         if scan >= NEVER:
             raise RuntimeError("more scans than the table of active phrases can tell apart")
-    total = sum((F.col(c) for c in slots[1:]), F.col(slots[0]))
-    known = settle(state.where(F.col("reach") < NEVER).select("h1", "h2", total.alias("f")))
+    known = settle(done.groupBy("h1", "h2").agg(F.max("total").alias("f")))
     active = spark.sparkContext.broadcast(_packed(first, last))
     told = _texts(blocks, active).join(known, ["h1", "h2"]).groupBy("h1", "h2")
-    told = told.agg(*(F.any_value(c).alias(c) for c in ("lang", "n", "phrase", "f")))
-    words = blocks.groupBy("lang").agg(F.sum("n_words").alias("words"))
-    phrases = settle(told.select("lang", F.col("n").cast("int").alias("n"), "phrase", "f"))
+    told = told.agg(*(F.any_value(c).alias(c) for c in ("lang", "phrase", "f")))
+    words = settle(blocks.groupBy("lang").agg(F.sum("n_words").alias("words")))
+    phrases = settle(told.select("lang", _length().alias("n"), "phrase", "f"))
     active.destroy()
+    discard(blocks)
     return phrases, words
 
 
+def _length() -> Column:
+    """Words of a phrase, which its digest ends with."""
+    return F.col("h2").bitwiseAND(F.lit(7)).cast("int")
+
+
 def _cut_score(a: Column, both: Column) -> Column:
     """``floor(2000000 * a / both)`` in whole numbers of 38 digits."""
     wide = F.lit(2_000_000).cast("decimal(10,0)") * a.cast("decimal(20,0)")
