@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table, travels_with_tasks
+from tidewatch.llm.common import small_batches, table, travels_with_tasks
 from tidewatch.session import configure, discard, settle
 
 travels_with_tasks(__name__)
@@ -48,7 +48,10 @@ LETTERS = bytes(
     44 if i in PIECE_ENDS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256)
 )
 
-BLOCKS = "shard int, lang string, lead int, n_words long, words array<binary>, codes array<int>"
+BLOCKS = (
+    "shard int, lang string, lead int, n_words long, words array<binary>, lanes array<long>, "
+    "codes array<int>"
+)
 COUNTS = "h1 long, h2 int, fresh long"
 
 
@@ -107,16 +110,18 @@ def blocks_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             words, codes = block.build()
             turn += 1
             counted = int((codes[block.lead :] >= 0).sum())
-            lists = [pa.array([0, len(x)], type=pa.int32()) for x in (words, codes)]
+            lanes = word_digests(lang, words)
+            lists = [pa.array([0, len(x)], type=pa.int32()) for x in (words, lanes, codes)]
             columns = [
                 pa.array([turn % shards], type=pa.int32()),
                 pa.array([lang]),
                 pa.array([block.lead], type=pa.int32()),
                 pa.array([counted], type=pa.int64()),
                 pa.ListArray.from_arrays(lists[0], words),
-                pa.ListArray.from_arrays(lists[1], pa.array(codes)),
+                pa.ListArray.from_arrays(lists[1], pa.array(lanes)),
+                pa.ListArray.from_arrays(lists[2], pa.array(codes)),
             ]
-            names = ["shard", "lang", "lead", "n_words", "words", "codes"]
+            names = ["shard", "lang", "lead", "n_words", "words", "lanes", "codes"]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
@@ -150,6 +155,15 @@ def blocks_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return settle(rows.mapInArrow(run, BLOCKS))
 
 
+def word_digests(lang: str, words: pa.Array) -> np.ndarray:
+    """128 bits of each word of a language: the first halves, then the second."""
+    from xxhash import xxh3_128_digest
+
+    start = lang.encode() + b"\t"
+    digests = b"".join(xxh3_128_digest(start + word) for word in words.to_pylist())
+    return np.frombuffer(digests, dtype="<i8").reshape(-1, 2).T.ravel()
+
+
 def _packed(first: np.ndarray, last: np.ndarray) -> bytes:
     return zlib.compress(first.tobytes() + last.tobytes(), 1)
 
@@ -179,15 +193,11 @@ def _digest_columns(n: int, one: np.ndarray, two: np.ndarray) -> list[pa.Array]:
 class Block:
     """Phrases of one block that may be active or may have reached the threshold."""
 
-    def __init__(self, lang: str, lead: int, words: pa.Array, codes: np.ndarray) -> None:
-        from xxhash import xxh3_128_digest
-
-        self.words, self.lead = words, lead
+    def __init__(self, lead: int, lanes: np.ndarray, codes: np.ndarray) -> None:
+        self.lead = lead
         self.codes = codes.astype(np.int64)
-        start = lang.encode() + b"\t"
-        digests = b"".join(xxh3_128_digest(start + word) for word in words.to_pylist())
-        self.lanes = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).T.copy()
-        self.counts = np.bincount(self.codes[lead:] + 1, minlength=len(words) + 1)[1:]
+        self.lanes = lanes.view(np.uint64).reshape(2, -1)
+        self.counts = np.bincount(self.codes[lead:] + 1, minlength=self.lanes.shape[1] + 1)[1:]
 
     def word_lane(self, lane: int, at: np.ndarray) -> np.ndarray:
         return self.lanes[lane][self.codes[at]]
@@ -227,7 +237,7 @@ class Block:
     def distinct(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of phrases that end after the lead: where each first stands, and how often."""
         at = at[at + n - 1 >= self.lead]
-        codes, base = self.codes, len(self.words)
+        codes, base = self.codes, self.lanes.shape[1]
         key = codes[at] * base + codes[at + 1]
         if n > 2:
             key = key * base + codes[at + 2]
@@ -237,11 +247,11 @@ class Block:
         return at[where], counts
 
 
-def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list]]:
+    """Blocks of ``lead, lanes, codes``, and what other columns there are."""
     for batch in batches:
-        for lang, lead, words, codes in zip(*batch.columns, strict=True):
-            name = lang.as_py()
-            yield name, Block(name, lead.as_py(), words.values, codes.values.to_numpy())
+        for lead, lanes, codes, *rest in zip(*batch.columns, strict=True):
+            yield Block(lead.as_py(), lanes.values.to_numpy(), codes.values.to_numpy()), rest
 
 
 def _scan(shard: DataFrame, active, scan: int, shards: int) -> DataFrame:
@@ -254,7 +264,7 @@ def _scan(shard: DataFrame, active, scan: int, shards: int) -> DataFrame:
             columns = [*digests, pa.array(counts.astype(np.int64))]
             return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "fresh"])
 
-        for _, block in _each_block(batches):
+        for block, _ in _each_block(batches):
             if scan < shards:
                 held = np.flatnonzero(block.counts)
                 yield rows(_digest_columns(1, *block.lanes[:, held]), block.counts[held])
@@ -264,7 +274,7 @@ def _scan(shard: DataFrame, active, scan: int, shards: int) -> DataFrame:
                 if len(where):
                     yield rows(block.digest(n, where), counts)
 
-    return shard.select("lang", "lead", "words", "codes").mapInArrow(run, COUNTS)
+    return shard.select("lead", "lanes", "codes").mapInArrow(run, COUNTS)
 
 
 def _texts(blocks: DataFrame, active) -> DataFrame:
@@ -280,8 +290,9 @@ def _texts(blocks: DataFrame, active) -> DataFrame:
             columns = [*digests, langs, pa.array(phrases, type=pa.string())]
             return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "lang", "phrase"])
 
-        for lang, block in _each_block(batches):
-            words = [word.decode() for word in block.words.to_pylist()]
+        for block, (name, held_words) in _each_block(batches):
+            lang = name.as_py()
+            words = [word.decode() for word in held_words.values.to_pylist()]
             held = np.flatnonzero(first[block.lanes[0] & mask] < NEVER)
             yield rows(lang, _digest_columns(1, *block.lanes[:, held]), [words[i] for i in held])
             for n, at, _, _, own in block.walk(first, last):
@@ -289,7 +300,7 @@ def _texts(blocks: DataFrame, active) -> DataFrame:
                 said = [" ".join(words[c] for c in block.codes[i : i + n]) for i in where.tolist()]
                 yield rows(lang, block.digest(n, where), said)
 
-    return blocks.select("lang", "lead", "words", "codes").mapInArrow(run, kinds)
+    return blocks.select("lead", "lanes", "codes", "lang", "words").mapInArrow(run, kinds)
 
 
 def _new_slots(reached: DataFrame) -> np.ndarray:
@@ -316,17 +327,18 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
     while scan <= end:
         active = spark.sparkContext.broadcast(_packed(first, last))
         counts = _scan(blocks.where(F.col("shard") == scan % shards), active, scan, shards)
-        zero = F.lit(0).cast("long")
-        rows = counts.select("h1", "h2", zero.alias("total"), "fresh", F.lit(scan).alias("born"))
+        rows = counts.select("h1", "h2", F.col("fresh").alias("total"), F.lit(scan).alias("born"))
         if state is not None:
-            rows = rows.union(state.select("h1", "h2", "total", zero.alias("fresh"), "born"))
-        merged = rows.groupBy("h1", "h2").agg(
-            F.sum("total").alias("before"), F.sum("fresh").alias("fresh"), F.min("born").alias("born")
+            rows = rows.union(state.where(F.col("born") + shards > scan).select(*rows.columns))
+        # Nearly all rows of a block are alone, so adding them up before the shuffle gains nothing.
+        before = F.sum(F.when(F.col("born") < scan, F.col("total")).otherwise(0))
+        merged = rows.repartition("h1").groupBy("h1", "h2").agg(
+            before.alias("before"), F.sum("total").alias("total"), F.min("born").alias("born")
         )
-        merged = merged.withColumn("total", F.col("before") + F.col("fresh"))
         # All shards seen without reaching: never to reach.
         seen_all = F.col("born") + (shards - 1) <= scan
-        held = settle(merged.where(~seen_all | (F.col("total") >= at_least)).drop("fresh"))
+        with small_batches(spark):
+            held = settle(merged.where(~seen_all | (F.col("total") >= at_least)))
         active.destroy()
         if state is not None:
             discard(state)
@@ -339,8 +351,7 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
         if not new.where(_length() < LENGTHS).isEmpty():
             end = max(end, scan + shards)
         done = done.union(settle(held.where(seen_all).select("h1", "h2", "total")))
-        state = settle(held.where(~seen_all).select("h1", "h2", "total", "born"))
-        discard(held)
+        state = held
         scan += 1
         if scan >= NEVER:
             raise RuntimeError("more scans than the table of active phrases can tell apart")
@@ -348,8 +359,10 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
     active = spark.sparkContext.broadcast(_packed(first, last))
     told = _texts(blocks, active).join(known, ["h1", "h2"]).groupBy("h1", "h2")
     told = told.agg(*(F.any_value(c).alias(c) for c in ("lang", "phrase", "f")))
+    discard(state)
     words = settle(blocks.groupBy("lang").agg(F.sum("n_words").alias("words")))
-    phrases = settle(told.select("lang", _length().alias("n"), "phrase", "f"))
+    with small_batches(spark):
+        phrases = settle(told.select("lang", _length().alias("n"), "phrase", "f"))
     active.destroy()
     discard(blocks)
     return phrases, words
