@@ -34,8 +34,8 @@ BEST = 2000
 SHARDS = 2
 NO_LANG = "und"
 # Tokens of a block; with a slice more, its vocabulary stays below 2^21 and three words fit 63 bits.
-BLOCK_TOKENS = 400_000
-HELD_TOKENS = 1_000_000
+BLOCK_TOKENS = 250_000
+HELD_TOKENS = 500_000
 SLICE_BYTES = 1 << 19
 # Entries of the table that tells tasks what is active; sent whole, two bytes each.
 SLOT_BITS = 23
@@ -67,7 +67,7 @@ class BlockBuilder:
     def add(self, tokens: list[bytes]) -> None:
         self.size += len(tokens)
         self._tokens += tokens
-        if len(self._tokens) > 200_000:
+        if len(self._tokens) > 50_000:
             self._encode()
 
     def _encode(self) -> None:

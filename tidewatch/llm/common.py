@@ -24,13 +24,18 @@ def travels_with_tasks(module: str) -> None:
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """While tables of long rows are read by Python: fewer of them at a time."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+    wanted = {
+        "spark.sql.execution.arrow.maxBytesPerBatch": size,
+        "spark.sql.parquet.columnarReaderBatchSize": "16",
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
