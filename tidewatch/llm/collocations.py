@@ -34,13 +34,15 @@ BEST = 2000
 SHARDS = 2
 NO_LANG = "und"
 # Tokens of a block; with a slice more, its vocabulary stays below 2^21 and three words fit 63 bits.
-BLOCK_TOKENS = 250_000
-HELD_TOKENS = 500_000
+BLOCK_TOKENS = 600_000
+HELD_TOKENS = 1_200_000
 SLICE_BYTES = 1 << 19
 # Entries of the table that tells tasks what is active; sent whole, two bytes each.
 SLOT_BITS = 23
 NEVER = 255
 FANS = 256
+# Phrases a task remembers to have told; beyond it forgets them and may tell one again.
+REMEMBERED = 1_000_000
 
 # Signs that end a piece, and white space between words.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -278,7 +280,7 @@ def _scan(shard: DataFrame, active, scan: int, shards: int) -> DataFrame:
 
 
 def _texts(blocks: DataFrame, active) -> DataFrame:
-    """``h1, h2, lang, phrase`` of all phrases that may have reached, once a block."""
+    """``h1, h2, lang, phrase`` of all phrases that may have reached, about once a task."""
     kinds = "h1 long, h2 int, lang string, phrase string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,13 +292,27 @@ def _texts(blocks: DataFrame, active) -> DataFrame:
             columns = [*digests, langs, pa.array(phrases, type=pa.string())]
             return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "lang", "phrase"])
 
+        told: set[tuple[int, int]] = set()
+
+        def fresh(digests: list[pa.Array]) -> list[int]:
+            """Places of digests that were not told yet."""
+            if len(told) > REMEMBERED:
+                told.clear()
+            keys = list(zip(*(d.to_pylist() for d in digests), strict=True))
+            places = [i for i, key in enumerate(keys) if key not in told]
+            told.update(keys)
+            return places
+
         for block, (name, held_words) in _each_block(batches):
             lang = name.as_py()
             words = [word.decode() for word in held_words.values.to_pylist()]
             held = np.flatnonzero(first[block.lanes[0] & mask] < NEVER)
+            untold = fresh(_digest_columns(1, *block.lanes[:, held]))
+            held = held[untold]
             yield rows(lang, _digest_columns(1, *block.lanes[:, held]), [words[i] for i in held])
             for n, at, _, _, own in block.walk(first, last):
                 where, _ = block.distinct(n, at[own < NEVER])
+                where = where[fresh(block.digest(n, where))]
                 said = [" ".join(words[c] for c in block.codes[i : i + n]) for i in where.tolist()]
                 yield rows(lang, block.digest(n, where), said)
 

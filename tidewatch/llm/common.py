@@ -26,7 +26,7 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """While tables of long rows are read by Python: fewer of them at a time."""
     wanted = {
         "spark.sql.execution.arrow.maxBytesPerBatch": size,
-        "spark.sql.parquet.columnarReaderBatchSize": "16",
+        "spark.sql.parquet.columnarReaderBatchSize": "4",
     }
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
