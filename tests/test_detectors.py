@@ -15,7 +15,7 @@ from tidewatch.operators.split import fit_split, fit_splits
 from tidewatch.plans.explain import explain_alerts
 from tidewatch.functions.scoring import normalize_weights
 from tidewatch.functions import trees
-from tidewatch.functions.trees import Forest, average_path, build_tree
+from tidewatch.functions.trees import PATH_UNIT, Forest, average_path, build_tree
 
 
 @pytest.fixture(scope="module")
@@ -143,7 +143,7 @@ def test_average_path():
 def test_tree_isolates_every_point(features):
     rng = np.random.default_rng(3)
     points = rng.normal(size=(64, features))
-    nodes = build_tree(points, np.random.default_rng(1), depth_limit=100)
+    nodes = build_tree(points, seed=1, tree=0, depth_limit=18)
     leaves = int((nodes["feature"] < 0).sum())
     assert leaves == 64
     for point in points:
@@ -151,7 +151,7 @@ def test_tree_isolates_every_point(features):
         while nodes["feature"][node] >= 0:
             goes_left = point[nodes["feature"][node]] <= nodes["cut"][node]
             node, depth = nodes["left" if goes_left else "right"][node], depth + 1
-        assert nodes["path"][node] == depth
+        assert nodes["path"][node] == depth * PATH_UNIT
 
 
 def test_step_function_equals_walking_the_trees(labelled):

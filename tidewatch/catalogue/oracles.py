@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tidewatch.catalogue.forest_sql import ensemble_ctes as forest_ensemble_ctes
+from tidewatch.catalogue.forest_sql import scored_ctes, walk_ctes
+
 # Building blocks
 
 EVENTS = """
@@ -118,7 +121,7 @@ chosen as (select stream, idx from (select *, row_number() over (partition by st
 )
 
 
-def inject_sql(kind: str, columns: str = "") -> str:
+def inject_sql(kind: str, columns: str = "", digits: str = ", 6") -> str:
     """Events with injected anomalies; ``kind`` is an SQL expression over stream and idx."""
     ids = ["stream", "idx::varchar"]
     sign = f"(case when {draw(chr(39) + '43' + chr(39), chr(39) + 'sign' + chr(39), *ids)} < 0.5 then -1.0 else 1.0 end)"
@@ -137,15 +140,67 @@ ctx as (select k.stream, k.idx, avg(y.value) as context from kinds k
 drift as (select stream, idx + off as idx, sum((5.0 + 5.0 * {draw("'43'", "'drift'", "stream", "idx::varchar")})
    * exp(-0.3::double * off)) as shift
    from (select stream, idx, unnest([0, 1, 2, 3, 4]) as off from kinds where kind = 'drift') z group by 1, 2)
-select x.event_id, round((case when kind = 'point' then value + {sign} * (20.0 + 20.0 * {up["point"]})
+select x.event_id, {"round" if digits else ""}((case when kind = 'point' then value + {sign} * (20.0 + 20.0 * {up["point"]})
      when kind = 'contextual' then coalesce(context, value) + (8.0 + 7.0 * {up["contextual"]})
-     else value end) + case when kind = 'contextual' then 0.0 else coalesce(shift, 0.0) end, 6) as value,
+     else value end) + case when kind = 'contextual' then 0.0 else coalesce(shift, 0.0) end{digits}) as value,
    kind is not null or shift is not null as label {columns}
 from x left join kinds using (stream, idx) left join ctx using (stream, idx) left join drift using (stream, idx)
 """
     )
 
 
+EVENT_FOREST = EVENT_FIT + "," + scored_ctes("f", "stream", "event_id", ["value", "k"])
+
+# Both neutral values of a flagged event, and the scores with one feature set to its own.
+ATTRIBUTION = (
+    EVENT_FOREST
+    + """,
+middle as (
+  select stream, (max(case when rv = (kk - 1) // 2 then value end) + max(case when rv = kk // 2 then value end)) / 2 as value,
+    (max(case when rk = (kk - 1) // 2 then k end) + max(case when rk = kk // 2 then k end)) / 2 as k
+  from (select *, row_number() over (partition by stream order by value) - 1 as rv,
+          row_number() over (partition by stream order by k) - 1 as rk from f where i < kk) z group by stream),
+without as (
+  select a.s, a.event_id::varchar || ':value' as id, [m.value, a.k] as p from forest a join middle m using (stream) where fflag
+  union all
+  select a.s, a.event_id::varchar || ':k', [a.value, m.k] from forest a join middle m using (stream) where fflag),"""
+    + walk_ctes("without", "changed")
+    + """
+select a.stream, a.event_id, round(v.sample - a.sample, 4) + 0.0 as value, round(c.sample - a.sample, 4) + 0.0 as k
+from forest a join changed v on v.s = a.s and v.id = a.event_id::varchar || ':value'
+join changed c on c.s = a.s and c.id = a.event_id::varchar || ':k'"""
+)
+
+STORED = f"""
+stored as (select *, sha256(stream) as sid, sha256(concat_ws('|', sha256(stream), epoch_us(ts)::varchar,
+    '{{"k":' || k::varchar || ',"value":' || value::varchar || '}}')) as fp from ev)
+"""
+DETECTED = (
+    "with " + EVENTS + "," + STORED + "," + fit_ctes("stored", "sid", "ts, fp") + "," + mad_ctes("v", "value", "sid")
+    + "," + scored_ctes("s_v", "sid", "fp", ["value"]) + "," + forest_ensemble_ctes("forest", "sid")
+)
+
+INJECTED = (
+    "with injected as ("
+    + inject_sql("'point'", ", x.stream, x.ts", "")
+    + "),"
+    + fit_ctes("injected", "stream", "ts, event_id")
+    + ","
+    + mad_ctes("v", "value", "stream")
+    + ","
+    + scored_ctes("s_v", "stream", "event_id", ["value"])
+    + ","
+    + forest_ensemble_ctes("forest", "stream")
+    + f""",
+flags as (select stream, label, unnest(['mad', 'isolation_forest', 'ensemble']) as detector,
+    unnest([z > thr, fflag, flag]) as flag from fused),
+counted as (select stream, detector, count(*) as n, {QUALITY} from flags group by 1, 2),
+rated as (select stream, detector, n, {RATED} from counted)
+select stream, detector, true_positives, false_positives, false_negatives, round("precision", 4) as "precision",
+  round(recall, 4) as recall, round(f1, 4) as f1,
+  round(false_positives / (n * 60.0::double / 3600.0::double), 4) as false_positives_per_hour from rated"""
+)
+
 RUNS = """
 with ev as (
   select o_orderkey::varchar as run_id, o_custkey::varchar as stream_id,
@@ -297,6 +352,19 @@ _SQL = {
     + """select event_id, 'mad_value' as detector, round(z_v, 6) as score, z_v > thr_v as is_anomaly from e
         union all select event_id, 'mad_k', round(z_k, 6), z_k > thr_k from e
         union all select event_id, 'ensemble', round(combined, 6), flag from e""",
+    "forest_flags": EVENT_FOREST
+    + "select stream, event_id, round(fscore, 6) as score, fflag as is_anomaly from forest",
+    "forest_embeddings": "with emb as (select label, vec_id, embedding from embeddings),"
+    + fit_ctes("emb", "label", "vec_id")
+    + ","
+    + scored_ctes("f", "label", "vec_id", [f"embedding[{i + 1}]" for i in range(64)])
+    + "select label, vec_id, round(fscore, 6) as score, fflag as is_anomaly from forest",
+    "forest_attribution": ATTRIBUTION,
+    "detect_all": DETECTED
+    + """select stream as stream_name, 'completed' as status, count(*) as observations_scored,
+          count(*) filter (where flag) as alerts_created, round(any_value(ethr), 6) as ensemble_threshold
+        from fused group by 1""",
+    "benchmark_injected": INJECTED,
     "forest_score_range": """
         select event_type as stream, count(*) as n, 0.0::double as low, 1.0::double as high from events group by 1""",
     "detect_two_features": EVENT_ENSEMBLE
@@ -394,5 +462,5 @@ _SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL per query. Forests draw their own random cuts, so their queries have none."""
+    """SQL per query."""
     return _SQL | {"label_quality_long": _SQL["label_quality"]}

@@ -18,6 +18,9 @@ import pyarrow as pa
 TREES = 100
 SUBSAMPLE = 256
 NODE_ARRAYS = ("feature", "cut", "left", "right", "path")
+# Path lengths are whole numbers of this part; random streams step by the golden ratio.
+PATH_UNIT = 1 << 32
+GOLDEN = 0x9E3779B97F4A7C15
 # Points that walk all trees together.
 POINTS_PER_WALK = 1024
 
@@ -31,35 +34,58 @@ def average_path(size: float) -> float:
     return 2.0 * (math.log(size - 1.0) + np.euler_gamma) - 2.0 * (size - 1.0) / size
 
 
-def build_tree(
-    points: np.ndarray, rng: np.random.Generator, depth_limit: int
-) -> dict[str, np.ndarray]:
-    """One isolation tree as parallel node arrays; leaves have feature -1 and a path length."""
-    draws = iter(rng.random(4 * len(points) + 4).tolist())
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread 64 bits (the finalizer of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def node_draws(seed: int, tree: int, nodes: int) -> np.ndarray:
+    """Two draws in [0, 1) for each node below ``nodes``, of the feature and of the cut.
+
+    They depend on the series, the tree and the node alone, so that any engine can repeat them.
+    """
+    counter = np.arange(2 * nodes, dtype=np.uint64) + np.uint64(tree << 20)
+    bits = mixed(np.uint64(seed) + counter * np.uint64(GOLDEN))
+    return ((bits >> np.uint64(11)) * 2.0**-53).reshape(-1, 2)
+
+
+def leaf_path(depth: int, size: int) -> int:
+    """Path length of a leaf in whole parts of ``PATH_UNIT``, so that sums do not depend on order."""
+    return round((depth + average_path(size)) * PATH_UNIT)
+
+
+def build_tree(points: np.ndarray, seed: int, tree: int, depth_limit: int) -> dict[str, np.ndarray]:
+    """One isolation tree as parallel node arrays; leaves have feature -1 and a path length.
+
+    Draws belong to a node's place: the root is 1 and the children of i are 2i and 2i + 1.
+    """
+    draws = node_draws(seed, tree, 1 << (depth_limit + 1)).tolist()
     single = points.shape[1] == 1
     ordered = np.sort(points[:, 0]).tolist() if single else []
     feature: list[int] = []
     cuts: list[float] = []
     left: list[int] = []
     right: list[int] = []
-    path: list[float] = []
+    path: list[int] = []
 
-    def choose(members: np.ndarray) -> tuple[int, float, float] | None:
+    def choose(members: np.ndarray, draw: float) -> tuple[int, float, float] | None:
         low, high = members.min(axis=0), members.max(axis=0)
         varying = np.flatnonzero(high > low)
         if len(varying) == 0:
             return None
-        chosen = int(varying[int(next(draws) * len(varying))])
+        chosen = int(varying[int(draw * len(varying))])
         return chosen, float(low[chosen]), float(high[chosen])
 
-    def add(members: np.ndarray | None, start: int, stop: int, depth: int) -> int:
+    def add(members: np.ndarray | None, start: int, stop: int, depth: int, place: int) -> int:
         # One feature: members are ordered[start:stop]. More: members holds the points.
         node, size = len(feature), stop - start
         feature.append(-1)
         cuts.append(0.0)
         left.append(-1)
         right.append(-1)
-        path.append(depth + average_path(size))
+        path.append(leaf_path(depth, size))
         if depth >= depth_limit or size <= 1:
             return node
         if single:
@@ -67,42 +93,39 @@ def build_tree(
             if picked[1] == picked[2]:
                 return node
         else:
-            picked = choose(members)
+            picked = choose(members, draws[place][0])
             if picked is None:
                 return node
         chosen, low, high = picked
-        cut = low + next(draws) * (high - low)
+        cut = low + draws[place][1] * (high - low)
         if cut >= high:
             cut = low
         feature[node], cuts[node] = chosen, cut
+        below, above = 2 * place, 2 * place + 1
         if single:
             middle = bisect.bisect_right(ordered, cut, start, stop)
-            left[node] = add(None, start, middle, depth + 1)
-            right[node] = add(None, middle, stop, depth + 1)
+            left[node] = add(None, start, middle, depth + 1, below)
+            right[node] = add(None, middle, stop, depth + 1, above)
         else:
             goes_left = members[:, chosen] <= cut
             low_side, high_side = members[goes_left], members[~goes_left]
-            left[node] = add(low_side, 0, len(low_side), depth + 1)
-            right[node] = add(high_side, 0, len(high_side), depth + 1)
+            left[node] = add(low_side, 0, len(low_side), depth + 1, below)
+            right[node] = add(high_side, 0, len(high_side), depth + 1, above)
         return node
 
-    add(None if single else points, 0, len(points), 0)
+    add(None if single else points, 0, len(points), 0, 1)
     return {
         "feature": np.array(feature, dtype=np.int32),
         "cut": np.array(cuts),
         "left": np.array(left, dtype=np.int32),
         "right": np.array(right, dtype=np.int32),
-        "path": np.array(path),
+        "path": np.array(path, dtype=np.int64),
     }
 
 
 def tree_draws(drawn: np.ndarray, tree: int) -> np.ndarray:
-    """Uniform 64-bit draws of rows for one tree, from the rows' hashes (SplitMix64)."""
-    step = np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = drawn.view(np.uint64) + step
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Uniform 64-bit draws of rows for one tree, from the rows' hashes."""
+    return mixed(drawn.view(np.uint64) + np.uint64((tree + 1) * GOLDEN % (1 << 64)))
 
 
 def may_be_drawn(drawn: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -130,14 +153,13 @@ def grow_forest(
     order = np.lexsort((*points.T, drawn))
     points, drawn = points[order], drawn[order]
     seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
-    rng = np.random.default_rng(seed)
     size = min(SUBSAMPLE, n, len(points))
     limit = math.ceil(math.log2(max(size, 2)))
     trees = []
     for tree in range(TREES):
         draws = tree_draws(drawn, tree)
         taken = np.argpartition(draws, size - 1)[:size] if size else np.zeros(0, dtype=np.int64)
-        trees.append(build_tree(points[taken[np.argsort(draws[taken])]], rng, limit))
+        trees.append(build_tree(points[taken], seed, tree, limit))
     return trees
 
 
@@ -171,7 +193,7 @@ class Forest:
         self.left = np.where(self.leaf, here, flat("left") + shift)
         self.right = np.where(self.leaf, here, flat("right") + shift)
         self.path = flat("path")
-        self.scale = len(trees) * (average_path(min(SUBSAMPLE, n)) or 1.0)
+        self.scale = len(trees) * (average_path(min(SUBSAMPLE, n)) or 1.0) * PATH_UNIT
         self.step: tuple[np.ndarray, np.ndarray] | None = None
         if feature.max(initial=-1) <= 0:
             self.step = self._step_function(np.repeat(np.arange(len(trees)), lengths))
@@ -200,7 +222,7 @@ class Forest:
         below = self._walk(self.roots[trees], lambda node: cuts)
         last = self._walk(self.roots.copy(), lambda node: np.full(len(node), np.inf))
         # Path just above a cut: that of the next cut in the same tree, or of the tree's last leaf.
-        above = np.append(below[1:], 0.0)
+        above = np.append(below[1:], 0)
         ends = np.append(trees[1:] != trees[:-1], True) if len(trees) else np.zeros(0, dtype=bool)
         above[: len(trees)][ends] = last[trees[ends]]
         first = np.ones(len(trees), dtype=bool)
@@ -209,7 +231,7 @@ class Forest:
         start[trees[first]] = below[first]
         order = np.argsort(cuts, kind="stable")
         jumps = (above[: len(trees)] - below)[order]
-        return cuts[order], start.sum() + np.concatenate([[0.0], np.cumsum(jumps)])
+        return cuts[order], start.sum() + np.concatenate([[0], np.cumsum(jumps)])
 
     def sample_scores(self, points: np.ndarray) -> np.ndarray:
         if self.step is not None:
@@ -217,7 +239,7 @@ class Forest:
             total = totals[np.searchsorted(cuts, points[:, 0], side="left")]
         else:
             # All trees at once, for as many points as keep the arrays in the processor's cache.
-            total = np.empty(len(points))
+            total = np.empty(len(points), dtype=np.int64)
             for start in range(0, len(points), POINTS_PER_WALK):
                 some = points[start : start + POINTS_PER_WALK]
                 nodes = np.repeat(self.roots[:, None], len(some), axis=1)

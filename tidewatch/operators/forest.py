@@ -39,16 +39,16 @@ _NODES = [
     T.StructField("cut", T.ArrayType(T.DoubleType())),
     T.StructField("left", T.ArrayType(T.IntegerType())),
     T.StructField("right", T.ArrayType(T.IntegerType())),
-    T.StructField("path", T.ArrayType(T.DoubleType())),
+    T.StructField("path", T.ArrayType(T.LongType())),
     T.StructField("n", T.LongType()),
 ]
 
 
 def with_draws(series: Series, seed: int) -> DataFrame:
-    """Rows with ``drawn``, the hash that decides which trees take them."""
-    return series.rows.withColumn(
-        "drawn", F.xxhash64(F.lit(seed), *series.keys, F.col(series.order[-1]))
-    )
+    """Rows with ``drawn``, the hash that decides which trees take them: 60 bits of an MD5."""
+    named = [F.col(c).cast("string") for c in (*series.keys, series.order[-1])]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *named))
+    return series.rows.withColumn("drawn", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
 
 
 def fit_candidates(series: Series, features: Sequence[str], seed: int) -> DataFrame:
