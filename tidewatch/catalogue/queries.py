@@ -490,18 +490,18 @@ def _hourly_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def append_dedupe(spark, sf_dir):
-    """Two runs with shared rows: the first run keeps what both have."""
-    rows = _hourly_keys(spark, sf_dir)
+    """Two runs with shared rows: the first run keeps what both have; stored keys are found by index."""
+    rows = _hourly_keys(spark, sf_dir).withColumn("value", F.lit(None).cast("double"))
     middle = F.lit("2024-01-15 12:30:00").cast("timestamp")
-    columns = ["stream_id", "observed_at", "payload", "row_fingerprint"]
+    columns = ["stream_id", "observed_at", "value", "payload", "row_fingerprint"]
     first = rows.where(F.col("ts") < middle).select(*columns, F.lit("first").alias("run_id"))
     second = rows.where(F.col("ts") >= middle - F.expr("interval 6 hours")).select(
         *columns, F.lit("second").alias("run_id")
     )
-    empty = spark.createDataFrame([], first.schema)
-    stored = settle(tables.new_observations(first, empty))
-    added = tables.new_observations(second, stored)
-    return stored.unionByName(added.select(stored.columns)).select("stream_id", "row_fingerprint", "run_id")
+    store = TableStore(spark, scratch(spark, "store"))
+    store.append_observations(first, "first")
+    store.append_observations(second, "second")
+    return store.observations().select("stream_id", "row_fingerprint", "run_id")
 
 
 @query

@@ -1,8 +1,9 @@
 """The stored tables: append-only Parquet, with "current" rows as views.
 
 Large tables are partitioned by ``batch_id``, one directory per job, so that a job that is run again
-replaces its own output and a reader of one batch lists one directory. One batch may hold any number
-of streams. Only one writer per stream may run at a time.
+replaces its own output and a reader of named batches lists their directories only. One batch may hold
+any number of streams. Only one writer per stream may run at a time. An index tells which batches may
+hold a key, see ``membership``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.hashing import content_digest, legacy_fingerprint, stream_id
 from tidewatch.session import configure, settle
+from tidewatch.tables.membership import MembershipIndex
 
 DETECTOR_EXPLANATION = (
     "struct<detector:string,summary:string,rules:array<string>,"
@@ -57,6 +59,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = configure(spark)
         self.root = root.rstrip("/")
+        self.membership = MembershipIndex(spark, f"{self.root}/observation_index")
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -71,6 +74,21 @@ class TableStore:
                 return self.spark.createDataFrame([], schema)
             raise
 
+    def read_batches(self, table: str, batches: Sequence[str]) -> DataFrame:
+        """The stored rows of named batches; no other directory is listed."""
+        schema = T.StructType.fromDDL(SCHEMAS[table])
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.path(table)}/batch_id={batch}" for batch in batches]
+        reader = self.spark.read.schema(schema).option("basePath", self.path(table))
+        return reader.parquet(*[path for path in paths if self._exists(path)] or [self.path(table)]).where(
+            F.col("batch_id").isin(list(batches))
+        )
+
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
     def _fit(self, table: str, df: DataFrame) -> DataFrame:
         schema = T.StructType.fromDDL(SCHEMAS[table])
         return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
@@ -83,7 +101,7 @@ class TableStore:
         fitted = self._fit(table, df.withColumn("batch_id", F.lit(batch_id)))
         target = f"{self.path(table)}/batch_id={batch_id}"
         fitted.drop("batch_id").write.mode("overwrite").parquet(target)
-        return self.read(table).where(F.col("batch_id") == batch_id)
+        return self.read_batches(table, [batch_id])
 
     # Streams
 
@@ -143,10 +161,24 @@ class TableStore:
     def append_observations(self, rows: DataFrame, batch_id: str) -> DataFrame:
         """Store rows whose (stream, fingerprint) is not stored yet; the first run keeps a row.
 
-        Fingerprints contain the time, so stored keys are read only within the new rows' time range.
+        Stored keys are read only from batches that may hold one of the new rows' keys, and in those
+        only within the new rows' time range: fingerprints contain the time.
         """
-        stored = self.read_valid("observations").where(F.col("batch_id") != batch_id)
-        fresh = new_observations(rows, stored)
+        span = rows.agg(
+            F.min("observed_at").alias("first"), F.max("observed_at").alias("last"),
+            F.count(F.lit(1)).alias("n"),
+        ).first()
+        if span["n"] == 0:
+            return self.write_batch("observations", batch_id, rows)
+        if not self.membership.exists() and self._exists(self.path("observations")):
+            self.membership.build(self.read("observations"))
+        held = self.membership.candidates(rows, span["first"], span["last"])
+        self.membership.add(rows, batch_id, span["first"], span["last"], span["n"])
+        batches = [batch for batch in held if batch != batch_id]
+        stored = self.read_batches("observations", batches)
+        if batches:
+            stored = without_failed(stored, self.read("run_events"))
+        fresh = new_observations(rows, stored, (span["first"], span["last"]))
         return self.write_batch("observations", batch_id, fresh)
 
     def observations(self) -> DataFrame:
@@ -258,13 +290,18 @@ def mark_inserted(versions: DataFrame, known: DataFrame) -> DataFrame:
     ).drop("seen")
 
 
-def new_observations(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows with a (stream, fingerprint) that neither ``stored`` nor an earlier copy has."""
+def new_observations(
+    rows: DataFrame, stored: DataFrame, span: tuple[dt.datetime, dt.datetime] | None = None
+) -> DataFrame:
+    """Rows with a (stream, fingerprint) that neither ``stored`` nor an earlier copy has.
+
+    ``span`` is the first and the last time in ``rows``, if known.
+    """
     keys = ["stream_id", "row_fingerprint"]
-    span = rows.agg(F.min("observed_at").alias("first"), F.max("observed_at").alias("last")).first()
-    if span["first"] is None:
+    span = span or rows.agg(F.min("observed_at"), F.max("observed_at")).first()
+    if span[0] is None:
         return rows
-    near = stored.where(F.col("observed_at").between(F.lit(span["first"]), F.lit(span["last"])))
+    near = stored.where(F.col("observed_at").between(F.lit(span[0]), F.lit(span[1])))
     return rows.dropDuplicates(keys).join(near.select(*keys), keys, "left_anti")
 
 
