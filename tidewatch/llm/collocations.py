@@ -34,13 +34,15 @@ BEST = 2000
 SHARDS = 2
 NO_LANG = "und"
 # Tokens of a block; with a slice more, its vocabulary stays below 2^21 and three words fit 63 bits.
-BLOCK_TOKENS = 600_000
-HELD_TOKENS = 1_200_000
+BLOCK_TOKENS = 900_000
+HELD_TOKENS = 1_800_000
 SLICE_BYTES = 1 << 19
 # Entries of the table that tells tasks what is active; sent whole, two bytes each.
 SLOT_BITS = 23
 NEVER = 255
 FANS = 256
+# Blocks, in sixteenths, that tell the texts of phrases: what a few have told, the rest need not.
+TOLD_IN = ((0, 1), (1, 4), (4, 16))
 # Phrases a task remembers to have told; beyond it forgets them and may tell one again.
 REMEMBERED = 1_000_000
 
@@ -51,7 +53,7 @@ LETTERS = bytes(
 )
 
 BLOCKS = (
-    "shard int, lang string, lead int, n_words long, words array<binary>, lanes array<long>, "
+    "turn int, shard int, lang string, lead int, n_words long, words array<binary>, lanes array<long>, "
     "codes array<int>"
 )
 COUNTS = "h1 long, h2 int, fresh long"
@@ -115,6 +117,7 @@ def blocks_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             lanes = word_digests(lang, words)
             lists = [pa.array([0, len(x)], type=pa.int32()) for x in (words, lanes, codes)]
             columns = [
+                pa.array([turn], type=pa.int32()),
                 pa.array([turn % shards], type=pa.int32()),
                 pa.array([lang]),
                 pa.array([block.lead], type=pa.int32()),
@@ -123,7 +126,7 @@ def blocks_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
                 pa.ListArray.from_arrays(lists[1], pa.array(lanes)),
                 pa.ListArray.from_arrays(lists[2], pa.array(codes)),
             ]
-            names = ["shard", "lang", "lead", "n_words", "words", "lanes", "codes"]
+            names = ["turn", "shard", "lang", "lead", "n_words", "words", "lanes", "codes"]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
@@ -166,12 +169,12 @@ def word_digests(lang: str, words: pa.Array) -> np.ndarray:
     return np.frombuffer(digests, dtype="<i8").reshape(-1, 2).T.ravel()
 
 
-def _packed(first: np.ndarray, last: np.ndarray) -> bytes:
-    return zlib.compress(first.tobytes() + last.tobytes(), 1)
+def _packed(*tables: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(table.tobytes() for table in tables), 1)
 
 
 def _unpacked(sent: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(sent), dtype=np.uint8).reshape(2, -1)
+    return np.frombuffer(zlib.decompress(sent), dtype=np.uint8).reshape(-1, 1 << SLOT_BITS)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -215,10 +218,8 @@ class Block:
         return _digest_columns(n, *lanes)
 
     def walk(self, first: np.ndarray, last: np.ndarray) -> Iterator[tuple]:
-        """``n``, starts of phrases whose parts may have reached, when their parts did, and they.
-
-        The parts' and the phrases' scans come as two arrays each, the first and the last possible.
-        """
+        """``n``, starts of phrases whose parts may have reached, the first and the last scan at which
+        their parts may have, and the phrases' own entries of the table."""
         codes, mask = self.codes, np.uint64((1 << SLOT_BITS) - 1)
         slots = self.lanes[0] & mask
         none = np.array([NEVER], dtype=np.uint8)
@@ -234,7 +235,7 @@ class Block:
             lo[at], hi[at] = first[own], last[own]
             lane = np.zeros(len(codes), dtype=np.uint64)
             lane[at] = value
-            yield n, at, parts_lo[at], parts_hi[at], lo[at]
+            yield n, at, parts_lo[at], parts_hi[at], own
 
     def distinct(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of phrases that end after the lead: where each first stands, and how often."""
@@ -280,11 +281,11 @@ def _scan(shard: DataFrame, active, scan: int, shards: int) -> DataFrame:
 
 
 def _texts(blocks: DataFrame, active) -> DataFrame:
-    """``h1, h2, lang, phrase`` of all phrases that may have reached, about once a task."""
+    """``h1, h2, lang, phrase`` of all phrases that may be wanted, about once a task."""
     kinds = "h1 long, h2 int, lang string, phrase string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = _unpacked(active.value)
+        first, last, wanted = _unpacked(active.value)
         mask = np.uint64((1 << SLOT_BITS) - 1)
 
         def rows(lang: str, digests: list[pa.Array], phrases: list[str]) -> pa.RecordBatch:
@@ -306,12 +307,12 @@ def _texts(blocks: DataFrame, active) -> DataFrame:
         for block, (name, held_words) in _each_block(batches):
             lang = name.as_py()
             words = [word.decode() for word in held_words.values.to_pylist()]
-            held = np.flatnonzero(first[block.lanes[0] & mask] < NEVER)
+            held = np.flatnonzero(wanted[block.lanes[0] & mask])
             untold = fresh(_digest_columns(1, *block.lanes[:, held]))
             held = held[untold]
             yield rows(lang, _digest_columns(1, *block.lanes[:, held]), [words[i] for i in held])
             for n, at, _, _, own in block.walk(first, last):
-                where, _ = block.distinct(n, at[own < NEVER])
+                where, _ = block.distinct(n, at[wanted[own] > 0])
                 where = where[fresh(block.digest(n, where))]
                 said = [" ".join(words[c] for c in block.codes[i : i + n]) for i in where.tolist()]
                 yield rows(lang, block.digest(n, where), said)
@@ -372,14 +373,22 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
         if scan >= NEVER:
             raise RuntimeError("more scans than the table of active phrases can tell apart")
     known = settle(done.groupBy("h1", "h2").agg(F.max("total").alias("f")))
-    active = spark.sparkContext.broadcast(_packed(first, last))
-    told = _texts(blocks, active).join(known, ["h1", "h2"]).groupBy("h1", "h2")
-    told = told.agg(*(F.any_value(c).alias(c) for c in ("lang", "phrase", "f")))
+    phrases, untold = None, known
+    for low, high in TOLD_IN:
+        part = F.floor(F.col("turn") / shards) % TOLD_IN[-1][1]
+        wanted = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+        wanted[_new_slots(untold)] = 1
+        active = spark.sparkContext.broadcast(_packed(first, last, wanted))
+        told = _texts(blocks.where((part >= low) & (part < high)), active).groupBy("h1", "h2")
+        told = told.agg(F.any_value("lang").alias("lang"), F.any_value("phrase").alias("phrase"))
+        with small_batches(spark):
+            named = settle(told.join(untold, ["h1", "h2"]))
+        active.destroy()
+        phrases = named if phrases is None else phrases.union(named)
+        untold = settle(untold.join(named.select("h1", "h2"), ["h1", "h2"], "left_anti"))
+    phrases = phrases.select("lang", _length().alias("n"), "phrase", "f")
     discard(state)
     words = settle(blocks.groupBy("lang").agg(F.sum("n_words").alias("words")))
-    with small_batches(spark):
-        phrases = settle(told.select("lang", _length().alias("n"), "phrase", "f"))
-    active.destroy()
     discard(blocks)
     return phrases, words
 
