@@ -9,7 +9,7 @@ it has seen every shard once. Counting ends when no active phrase has a shard le
 Tasks learn what is active from a table of fixed size, in which a hash of a phrase finds the first and
 the last scan at which phrases with this hash reached the threshold. A phrase may thus be counted
 too early or too often, never too little: its first full cycle gives the exact number, and of several
-cycles the largest number is that of a full one. Counts meet by a digest of 93 bits and the length.
+cycles the largest number is that of a full one. Counts meet by a digest of 77 bits and the length.
 """
 
 from __future__ import annotations
@@ -190,8 +190,8 @@ def _longer(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _digest_columns(n: int, one: np.ndarray, two: np.ndarray) -> list[pa.Array]:
-    """``h1``, and as ``h2`` 29 bits more and the number of words."""
-    short = ((two >> np.uint64(35)) << np.uint64(3)) | np.uint64(n)
+    """``h1``, and as ``h2`` 13 bits more and the number of words."""
+    short = ((two >> np.uint64(51)) << np.uint64(3)) | np.uint64(n)
     return [pa.array(one.view(np.int64)), pa.array(short.astype(np.uint32).view(np.int32))]
 
 
