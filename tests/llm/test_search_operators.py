@@ -144,6 +144,12 @@ def test_crowded_slots_count_no_phrase_wrong(spark, small_blocks, monkeypatch):
     assert {(r["lang"], r["phrase"]): r["f"] for r in phrases.collect()} == want
 
 
+def test_all_of_a_language_in_one_block(spark):
+    docs = [(i, "so so so so we go on", "de") for i in range(20)] + [(99, "a b c d " * 20, "en")]
+    got = collocations.collocations(frame(spark, docs, 1), at_least=15, best=50)
+    assert sorted(map(tuple, got.collect())) == sorted(collocations_by_definition(docs, 15, 50))
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(frame(spark, [], 1)).count() == 0
     assert collocations.collocations(frame(spark, [(1, None, None), (2, "", "en")], 1)).count() == 0

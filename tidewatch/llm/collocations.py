@@ -372,6 +372,8 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, shards: int = SH
         scan += 1
         if scan >= NEVER:
             raise RuntimeError("more scans than the table of active phrases can tell apart")
+    # Phrases first met late in their cycle: by now every cycle has ended.
+    done = done.union(state.where(F.col("total") >= at_least).select("h1", "h2", "total"))
     known = settle(done.groupBy("h1", "h2").agg(F.max("total").alias("f")))
     phrases, untold = None, known
     for low, high in TOLD_IN:
