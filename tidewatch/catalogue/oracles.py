@@ -310,6 +310,12 @@ _SQL = {
         select stream_name, n as records_read, d as records_written, n - d as records_duplicate, false as skipped from c
         union all
         select stream_name, d, 0, 0, true from c""",
+    "stream_deletion": """
+        with e as (select *, (select min(event_type) from events) as gone from events),
+        c as (select event_type as name, count(distinct (ts, value, json_extract_string(props, '$.k'))) as observations,
+            max((event_type <> gone)::int) as stays
+          from e where event_type <> gone or ts >= timestamp '2024-01-15 12:30:00' group by 1)
+        select name, observations, observations * stays as after_deletion from c""",
     "ingest_file": "select count(*) as observations from events",
     "fit_window": EVENT_FIT + "select event_id, i < kk as is_fit from f",
     "series_ranks": EVENT_FIT + 'select event_id, i as "rank", n from o',
@@ -463,4 +469,8 @@ _SQL = {
 
 def oracle_sql() -> dict[str, str]:
     """SQL per query."""
-    return _SQL | {"label_quality_long": _SQL["label_quality"]}
+    return _SQL | {
+        "label_quality_long": _SQL["label_quality"],
+        "runs_compacted": _SQL["runs_current"],
+        "alerts_compacted": _SQL["alerts_current"],
+    }

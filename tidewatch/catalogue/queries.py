@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.config import (
     BenchmarkConfig,
@@ -519,6 +520,24 @@ def runs_current(spark, sf_dir):
     )
 
 
+@query
+def runs_compacted(spark, sf_dir):
+    """The same runs kept as states: starts are compacted, ends are in the tail, then both are."""
+    events = order_runs(spark, sf_dir)
+    store = TableStore(spark, scratch(spark, "store"))
+    log = store.logs["run_events"]
+    log.append(tables.run_states(events.where("status = 'running'")))
+    log.compact(everything=True)
+    log.append(tables.run_states(events.where("status <> 'running'")))
+    tail = settle(store.runs().where("run_type = 'detection'"))
+    log.compact(everything=True)
+    return tail.unionByName(store.runs().where("run_type <> 'detection'")).select(
+        "run_id", "stream_id", "run_type", "status", "started_at", "finished_at",
+        F.col("metadata")["row_count"].cast("bigint").alias("row_count"),
+        F.col("metadata")["content_hash"].alias("content_hash"),
+    )
+
+
 @query
 def latest_run(spark, sf_dir):
     return latest_ingestion_runs(tables.latest_runs(order_runs(spark, sf_dir)))
@@ -579,6 +598,27 @@ def ingest_file(spark, sf_dir):
     return reports.count_observations(store.observations()).select("observations")
 
 
+@query
+def stream_deletion(spark, sf_dir):
+    """One stream is deleted, its rows are purged, and the later half of it is stored anew."""
+    store = TableStore(spark, scratch(spark, "store"))
+    records = stored_events(spark, sf_dir).select(
+        F.col("stream").alias("stream_name"), "observed_at", "value", "payload"
+    )
+    ingest_records(store, records, "parquet", {"table": "events"})
+    gone = records.agg(F.min("stream_name")).first()[0]
+    store.delete_stream(gone)
+    left = settle(reports.count_observations(store.observations(), "stream_id"))
+    store.purge(grace_seconds=0)
+    later = (F.col("stream_name") == gone) & (F.col("observed_at") >= F.lit("2024-01-15 12:30:00"))
+    ingest_records(store, records.where(later), "parquet", {"table": "events"})
+    counts = reports.count_observations(store.observations(), "stream_id")
+    before = left.withColumnRenamed("observations", "after_deletion")
+    return store.streams().join(counts, "stream_id").join(before, "stream_id", "left").select(
+        "name", "observations", F.coalesce("after_deletion", F.lit(0)).alias("after_deletion")
+    )
+
+
 # Detection
 
 
@@ -787,9 +827,8 @@ def detect_two_features(spark, sf_dir):
 # Alerts and explanations
 
 
-@query
-def alerts_current(spark, sf_dir):
-    """Two detection runs, the second less strict: alerts of both, newest version each."""
+def _alert_versions(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Alerts of two detection runs, the second less strict."""
     versions = []
     for place, percentile in enumerate((97.0, 95.0)):
         _, scored = ensemble(spark, sf_dir, percentile)
@@ -800,16 +839,43 @@ def alerts_current(spark, sf_dir):
                 F.lit(f"run{place}").alias("run_id"),
                 F.round("ensemble", 6).alias("score"),
                 F.timestamp_seconds(F.lit(1704067200 + place)).alias("event_at"),
+                stream_id(F.col("stream")).alias("stream_id"),
             )
         )
-    first, second = versions
-    current = tables.latest_alerts(first.unionByName(second))
+    return versions
+
+
+def _current_alerts(current: DataFrame, second: DataFrame, first: DataFrame) -> DataFrame:
     inserted = tables.mark_inserted(second, first).select("dedupe_key", "inserted")
     return current.join(inserted, "dedupe_key", "left").select(
         "alert_id", "run_id", "score", "created_at", F.coalesce("inserted", F.lit(True)).alias("inserted")
     )
 
 
+@query
+def alerts_current(spark, sf_dir):
+    """Two detection runs, the second less strict: alerts of both, newest version each."""
+    first, second = (rows.drop("stream_id") for rows in _alert_versions(spark, sf_dir))
+    return _current_alerts(tables.latest_alerts(first.unionByName(second)), second, first)
+
+
+@query
+def alerts_compacted(spark, sf_dir):
+    """The same from the store: the first run's alerts are a snapshot when the second run's come."""
+    store = TableStore(spark, scratch(spark, "store"))
+    log = store.logs["alert_versions"]
+    whole = T.StructType.fromDDL(tables.STATE_SCHEMAS["alert_versions"])
+    shaped = []
+    for rows in _alert_versions(spark, sf_dir):
+        rows = rows.withColumn("created_at", F.col("event_at"))
+        other = [f for f in whole.fields if f.name not in rows.columns]
+        rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in other})
+        shaped.append(log.append(rows))
+        log.compact(everything=True)
+    first, second = shaped
+    return _current_alerts(store.alerts(), second, first)
+
+
 @query
 def explain_mad_values(spark, sf_dir):
     series = split_events(spark, sf_dir)

@@ -68,7 +68,9 @@ def detect(
     if streams is not None:
         known = known.where(F.col("stream_name").isin(list(streams)))
     chosen = settle(
-        known.join(latest_ingestion_runs(store.runs()), "stream_id", "left")
+        known.join(
+            latest_ingestion_runs(store.runs(of=None if streams is None else known)), "stream_id", "left"
+        )
     )
     if streams is not None:
         found = {row.stream_name: row.run_id for row in chosen.select("stream_name", "run_id").collect()}

@@ -105,7 +105,7 @@ def ingest_records(
 
     digests = batch_content_hash(rows) if with_offsets else content_hashes(rows)
     nothing = F.sha2(F.lit("0"), 256)
-    known = completed_runs(store.runs())
+    known = completed_runs(store.runs(of=streams))
     planned = settle(
         streams.join(digests, "stream_id", "left")
         .withColumn("content_hash", F.coalesce("content_hash", nothing))

@@ -1,9 +1,12 @@
 """The stored tables: append-only Parquet, with "current" rows as views.
 
-Large tables are partitioned by ``batch_id``, one directory per job, so that a job that is run again
-replaces its own output and a reader of named batches lists their directories only. One batch may hold
-any number of streams. Only one writer per stream may run at a time. An index tells which batches may
-hold a key, see ``membership``.
+Observations and scores are partitioned by ``batch_id``, one directory per job, so that a job that is run
+again replaces its own output and a reader of named batches lists their directories only. One batch may
+hold any number of streams. Only one writer per stream may run at a time. An index tells which batches may
+hold a key, see ``membership``. Streams, runs and alerts are states with a compacted snapshot, see ``log``.
+
+Rows of a run count once the run is completed. A stream is deleted by a record: whatever was written up to
+its time is left out by every read, and is gone when tables are compacted (``purge``).
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.hashing import content_digest, legacy_fingerprint, stream_id
 from tidewatch.session import configure, settle
+from tidewatch.tables.log import GRACE_SECONDS, StateLog, buckets
 from tidewatch.tables.membership import MembershipIndex
 
 DETECTOR_EXPLANATION = (
@@ -33,19 +37,23 @@ EXPLANATION = (
 )
 
 SCHEMAS = {
-    "streams": "stream_id string, name string, source_type string, config string, "
-    "event_at timestamp",
-    "run_events": "run_id string, stream_id string, run_type string, status string, "
-    "event_at timestamp, metadata map<string,string>",
     "observations": "stream_id string, run_id string, observed_at timestamp, value double, "
-    "payload string, row_fingerprint string, batch_id string",
+    "payload string, row_fingerprint string, written_at timestamp, batch_id string",
     "scores": "run_id string, stream_id string, row_fingerprint string, detector string, "
-    "score double, is_anomaly boolean, batch_id string",
+    "score double, is_anomaly boolean, written_at timestamp, batch_id string",
+}
+# States: ``event_at`` is the time of the newest event in them.
+STATE_SCHEMAS = {
+    "streams": "stream_id string, name string, source_type string, config string, "
+    "event_at timestamp, created_at timestamp",
+    "run_events": "run_id string, stream_id string, run_type string, status string, "
+    "event_at timestamp, started_at timestamp, finished_at timestamp, "
+    "metadata map<string,struct<at:timestamp,value:string>>",
     "alert_versions": "alert_id string, dedupe_key string, run_id string, stream_id string, "
     "row_fingerprint string, observed_at timestamp, score double, detector string, "
-    f"explanation {EXPLANATION}, event_at timestamp, batch_id string",
+    f"explanation {EXPLANATION}, event_at timestamp, created_at timestamp, batch_id string",
+    "deletions": "stream_id string, event_at timestamp",
 }
-BATCHED = ("observations", "scores", "alert_versions")
 STATUSES = ("pending", "running", "completed", "failed")
 
 
@@ -60,11 +68,20 @@ class TableStore:
         self.spark = configure(spark)
         self.root = root.rstrip("/")
         self.membership = MembershipIndex(spark, f"{self.root}/observation_index")
+        self.logs = {
+            name: StateLog(spark, self.path(name), STATE_SCHEMAS[name], keys, merge)
+            for name, keys, merge in (
+                ("streams", ["stream_id"], lambda rows: merge_streams(self.live(rows))),
+                ("run_events", ["run_id"], lambda rows: merge_runs(self.live(rows))),
+                ("alert_versions", ["alert_id"], self._merge_finished_alerts),
+                ("deletions", ["stream_id"], last_deletions),
+            )
+        }
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def read(self, table: str) -> DataFrame:
+    def _stored(self, table: str) -> DataFrame:
         """The stored rows; an empty table when nothing was written yet."""
         schema = T.StructType.fromDDL(SCHEMAS[table])
         try:
@@ -74,6 +91,27 @@ class TableStore:
                 return self.spark.createDataFrame([], schema)
             raise
 
+    def read(self, table: str, among: Sequence[str] | None = None) -> DataFrame:
+        """The rows of a table, or its states before they are merged, without deleted streams.
+
+        ``among`` are buckets of streams (``log.buckets``); other states are not read.
+        """
+        if table in self.logs:
+            return self.live(self.logs[table].states(among))
+        return self.live(self._stored(table))
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows written after their stream was last deleted, if it ever was."""
+        if not self.logs["deletions"].parts():
+            return rows
+        gone = last_deletions(self.logs["deletions"].states()).select(
+            F.col("stream_id").alias("gone_id"), F.col("event_at").alias("gone_at")
+        )
+        time = F.col("event_at" if "event_at" in rows.columns else "written_at")
+        # Rows without a time are older than any record.
+        early = time.isNull() | (time <= F.col("gone_at"))
+        return rows.join(gone, (F.col("stream_id") == F.col("gone_id")) & early, "left_anti")
+
     def read_batches(self, table: str, batches: Sequence[str]) -> DataFrame:
         """The stored rows of named batches; no other directory is listed."""
         schema = T.StructType.fromDDL(SCHEMAS[table])
@@ -93,12 +131,10 @@ class TableStore:
         schema = T.StructType.fromDDL(SCHEMAS[table])
         return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
-    def append(self, table: str, df: DataFrame) -> None:
-        self._fit(table, df).write.mode("append").parquet(self.path(table))
-
     def write_batch(self, table: str, batch_id: str, df: DataFrame) -> DataFrame:
         """Write the rows of one batch, replacing what an earlier try left; returns the batch."""
-        fitted = self._fit(table, df.withColumn("batch_id", F.lit(batch_id)))
+        placed = df.withColumn("batch_id", F.lit(batch_id)).withColumn("written_at", F.lit(now()))
+        fitted = self._fit(table, placed)
         target = f"{self.path(table)}/batch_id={batch_id}"
         fitted.drop("batch_id").write.mode("overwrite").parquet(target)
         return self.read_batches(table, [batch_id])
@@ -117,8 +153,8 @@ class TableStore:
             F.lit(text).alias("config"),
             F.lit(now()).alias("event_at"),
         )
-        self.append("streams", rows)
-        return rows.select("stream_id", "name")
+        written = self.logs["streams"].append(rows.withColumn("created_at", F.col("event_at")))
+        return written.select("stream_id", "name")
 
     def streams(self) -> DataFrame:
         return latest_streams(self.read("streams"))
@@ -147,14 +183,22 @@ class TableStore:
             F.lit(now()).alias("event_at"),
             F.create_map(*entries).alias("metadata"),
         )
-        self.append("run_events", events)
+        self.logs["run_events"].append(run_states(events))
+
+    def runs(self, of: DataFrame | None = None) -> DataFrame:
+        """The current state of every run, or of runs of the streams in ``of.stream_id`` and their like."""
+        among = None if of is None else buckets(of)
+        return shown_runs(merge_runs(self.read("run_events", among)))
 
-    def runs(self) -> DataFrame:
-        return latest_runs(self.read("run_events"))
+    def completed_only(self, rows: DataFrame, among: Sequence[str] | None = None) -> DataFrame:
+        """``rows`` but those of runs that failed or have not come to an end."""
+        if not self.logs["run_events"].parts():
+            return rows
+        return without_unfinished(rows, self.read("run_events", among))
 
     def read_valid(self, table: str) -> DataFrame:
-        """The stored rows but those of failed runs."""
-        return without_failed(self.read(table), self.read("run_events"))
+        """The stored rows of completed runs."""
+        return self.completed_only(self.read(table))
 
     # Observations
 
@@ -171,21 +215,21 @@ class TableStore:
         if span["n"] == 0:
             return self.write_batch("observations", batch_id, rows)
         if not self.membership.exists() and self._exists(self.path("observations")):
-            self.membership.build(self.read("observations"))
+            self.membership.build(self._stored("observations"))
         held = self.membership.candidates(rows, span["first"], span["last"])
         self.membership.add(rows, batch_id, span["first"], span["last"], span["n"])
         batches = [batch for batch in held if batch != batch_id]
         stored = self.read_batches("observations", batches)
         if batches:
-            stored = without_failed(stored, self.read("run_events"))
+            stored = self.completed_only(self.live(stored), buckets(rows))
         fresh = new_observations(rows, stored, (span["first"], span["last"]))
         return self.write_batch("observations", batch_id, fresh)
 
     def observations(self) -> DataFrame:
-        return self.read_valid("observations")
+        return self.read_valid("observations").drop("written_at")
 
     def scores(self) -> DataFrame:
-        return self.read_valid("scores")
+        return self.read_valid("scores").drop("written_at")
 
     # Scores and alerts
 
@@ -193,96 +237,164 @@ class TableStore:
         return self.write_batch("scores", batch_id, rows)
 
     def upsert_alerts(self, rows: DataFrame, batch_id: str) -> DataFrame:
-        """Store a version of each alert; returns them with ``inserted``: no earlier version."""
-        known = self.read_valid("alert_versions").where(F.col("batch_id") != batch_id)
-        versions = rows.withColumn("event_at", F.lit(now()))
-        written = self.write_batch("alert_versions", batch_id, versions)
-        return mark_inserted(written, known)
+        """Store a version of each alert; returns them with ``inserted``: no earlier version.
+
+        Earlier versions are looked up among the states of the same streams.
+        """
+        versions = rows.withColumns({"event_at": F.lit(now()), "batch_id": F.lit(batch_id)})
+        log = self.logs["alert_versions"]
+        written = log.append(versions.withColumn("created_at", F.col("event_at")))
+        among = buckets(written)
+        earlier = self.read("alert_versions", among).where(F.col("batch_id") != batch_id)
+        return mark_inserted(written.drop("created_at"), self.completed_only(earlier, among))
 
     def alerts(self) -> DataFrame:
         return latest_alerts(self.read_valid("alert_versions"))
 
+    def _merge_finished_alerts(self, rows: DataFrame) -> DataFrame:
+        """One version per alert of what completed runs found; others stay as they are.
+
+        A version of a run that fails later must not have replaced the one before it.
+        """
+        rows = self.live(rows)
+        done = self.completed_only(rows)
+        columns = rows.columns
+        versions = ["alert_id", "run_id", "event_at"]
+        rest = rows.join(done.select(*versions), versions, "left_anti")
+        return merge_alerts(done).select(*columns).unionByName(rest.select(*columns))
+
     # Maintenance
 
     def delete_stream(self, name: str) -> None:
-        """Remove a stream with its runs, observations, scores and alerts."""
-        gone = F.sha2(F.lit(name), 256)
-        for table in BATCHED:
-            rows = self.read(table)
-            touched = rows.where(F.col("stream_id") == gone).select("batch_id").distinct()
-            batches = [row.batch_id for row in touched.collect()]
-            if not batches:
-                continue
-            kept = settle(rows.where(F.col("batch_id").isin(batches) & (F.col("stream_id") != gone)))
-            for batch in batches:
-                self.write_batch(table, batch, kept.where(F.col("batch_id") == batch))
-        for table in ("run_events", "streams"):
-            kept = settle(self.read(table).where(F.col("stream_id") != gone))
-            kept.write.mode("overwrite").parquet(self.path(table))
+        """Remove a stream with its runs, observations, scores and alerts; a record is all that is written.
+
+        The stream may be stored anew afterwards.
+        """
+        gone = self.spark.range(1).select(F.sha2(F.lit(name), 256).alias("stream_id"))
+        self.logs["deletions"].append(gone.withColumn("event_at", F.lit(now())))
+
+    def purge(self, grace_seconds: float = GRACE_SECONDS) -> None:
+        """Take what was deleted off the disk: compact the states, rewrite the batches concerned.
+
+        The rows to keep are settled before their batches are replaced. Parts of logs stay for
+        ``grace_seconds`` after they were merged. The records of deletion stay.
+        """
+        for log in self.logs.values():
+            log.compact(everything=True, grace_seconds=grace_seconds)
+        for table in SCHEMAS:
+            rows = self._stored(table)
+            dead = rows.join(self.live(rows).select("batch_id", "stream_id").distinct(),
+                             ["batch_id", "stream_id"], "left_anti")
+            touched = settle(dead.select("batch_id").distinct())
+            kept = settle(self.live(rows.join(touched, "batch_id", "left_semi")))
+            (
+                kept.repartition("batch_id").write.mode("overwrite").partitionBy("batch_id")
+                .option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
+            )
+            # Only names of folders pass here, a few at a time.
+            for row in touched.join(kept, "batch_id", "left_anti").toLocalIterator():
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(
+                    f"{self.path(table)}/batch_id={row['batch_id']}"
+                )
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def last_deletions(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("stream_id").agg(F.max("event_at").alias("event_at"))
 
 
 # The views below group by more than the id, by columns the id determines, so that a filter on
 # those columns reaches the scan.
 
 
-def without_failed(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """``rows`` but those of runs whose last status is ``failed``."""
+def without_unfinished(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """``rows`` but those of runs whose last status is not ``completed``."""
     keys = ["stream_id", "run_id"]
-    last = events.groupBy(*keys).agg(F.max_by("status", "event_at").alias("status"))
-    return rows.join(last.where(F.col("status") == "failed").select(*keys), keys, "left_anti").select(
+    last = states.groupBy(*keys).agg(F.max_by("status", "event_at").alias("status"))
+    return rows.join(last.where(F.col("status") != "completed").select(*keys), keys, "left_anti").select(
         *rows.columns
     )
 
 
-def latest_streams(versions: DataFrame) -> DataFrame:
-    """Current settings of each stream, with the times of its first and last version."""
+def merge_streams(states: DataFrame) -> DataFrame:
     current = F.max_by(F.struct("source_type", "config"), "event_at").alias("current")
+    created = F.col("created_at") if "created_at" in states.columns else F.col("event_at")
     return (
-        versions.groupBy("stream_id", "name")
-        .agg(current, F.min("event_at").alias("created_at"), F.max("event_at").alias("updated_at"))
-        .select("stream_id", "name", "current.*", "created_at", "updated_at")
+        states.groupBy("stream_id", "name")
+        .agg(current, F.max("event_at").alias("event_at"), F.min(created).alias("created_at"))
+        .select("stream_id", "name", "current.*", "event_at", "created_at")
     )
 
 
-def latest_runs(events: DataFrame) -> DataFrame:
-    """One row per run: last status, start and finish, and metadata with later values on top.
+def latest_streams(versions: DataFrame) -> DataFrame:
+    """Current settings of each stream, with the times of its first and last version."""
+    columns = ["stream_id", "name", "source_type", "config", "created_at"]
+    return merge_streams(versions).select(*columns, F.col("event_at").alias("updated_at"))
 
-    A run has a few events (one per change of status and retry), so they are merged in one group.
-    """
+
+def run_states(events: DataFrame) -> DataFrame:
+    """Status events as states: every entry of the metadata has the time it was set."""
     done = F.col("status").isin("completed", "failed")
-    history = F.sort_array(F.collect_list(F.struct("event_at", F.map_entries("metadata").alias("entries"))))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    dated = F.transform_values(
+        "metadata", lambda _, value: F.struct(F.col("event_at").alias("at"), value.alias("value"))
+    )
+    return events.select(
+        "run_id", "stream_id", "run_type", "status", "event_at", F.col("event_at").alias("started_at"),
+        F.when(done, F.col("event_at")).alias("finished_at"), dated.alias("metadata"),
+    )
 
-    def overlay(merged: Column, event: Column) -> Column:
-        later = F.map_from_entries(event["entries"])
-        kept = F.map_filter(merged, lambda key, _: ~F.map_contains_key(later, key))
-        return F.map_concat(kept, later)
 
-    return (
-        events.groupBy("run_id", "stream_id", "run_type")
+def merge_runs(states: DataFrame) -> DataFrame:
+    """One state per run: last status, start and finish, and the last value of each metadata entry.
+
+    A run has a few states (one per change of status and retry), so they are merged in one group.
+    """
+    entries = F.flatten(F.collect_list(F.map_entries("metadata")))
+    merged = (
+        states.groupBy("run_id", "stream_id", "run_type")
         .agg(
             F.max_by("status", "event_at").alias("status"),
-            F.min("event_at").alias("started_at"),
-            F.max(F.when(done, F.col("event_at"))).alias("finished_at"),
-            history.alias("history"),
+            F.max("event_at").alias("event_at"),
+            F.min("started_at").alias("started_at"),
+            F.max("finished_at").alias("finished_at"),
+            entries.alias("entries"),
         )
-        .withColumn("metadata", F.aggregate("history", empty, overlay))
-        .drop("history")
+        .withColumn("entries", F.sort_array("entries"))
+    )
+    # Sorted by key, then time: the last of each key counts.
+    last = F.filter(
+        "entries", lambda e, i: ~F.equal_null(F.get(F.col("entries"), i + 1)["key"], e["key"])
     )
+    return merged.withColumn("metadata", F.map_from_entries(last)).drop("entries")
 
 
-def latest_alerts(versions: DataFrame) -> DataFrame:
-    """Current version of each alert; ``created_at`` is that of its first version."""
-    ids = [c for c in ("alert_id", "stream_id") if c in versions.columns]
-    columns = [c for c in versions.columns if c not in (*ids, "event_at")]
+def shown_runs(states: DataFrame) -> DataFrame:
+    plain = F.transform_values("metadata", lambda _, entry: entry["value"])
+    return states.withColumn("metadata", plain).drop("event_at")
+
+
+def latest_runs(events: DataFrame) -> DataFrame:
+    """One row per run, from its status events."""
+    return shown_runs(merge_runs(run_states(events)))
+
+
+def merge_alerts(states: DataFrame) -> DataFrame:
+    ids = [c for c in ("alert_id", "stream_id") if c in states.columns]
+    columns = [c for c in states.columns if c not in (*ids, "created_at")]
+    created = F.col("created_at") if "created_at" in states.columns else F.col("event_at")
     current = F.max_by(F.struct(*columns), F.struct("event_at", "run_id")).alias("current")
     return (
-        versions.groupBy(*ids)
-        .agg(current, F.min("event_at").alias("created_at"))
+        states.groupBy(*ids)
+        .agg(current, F.min(created).alias("created_at"))
         .select(*ids, "current.*", "created_at")
     )
 
 
+def latest_alerts(versions: DataFrame) -> DataFrame:
+    """Current version of each alert; ``created_at`` is that of its first version."""
+    return merge_alerts(versions).drop("event_at")
+
+
 def mark_inserted(versions: DataFrame, known: DataFrame) -> DataFrame:
     seen = known.select("dedupe_key").distinct().withColumn("seen", F.lit(True))
     return versions.join(seen, "dedupe_key", "left").withColumn(
