@@ -221,6 +221,21 @@ def test_labelled_csv_keeps_file_order_of_ties(spark, tmp_path):
     ]
 
 
+def test_labelled_files_keep_the_order_of_their_names(spark, tmp_path):
+    # The larger file is read first, whatever its name, and in many blocks.
+    folder = tmp_path / "many"
+    folder.mkdir()
+    write_csv(folder / "a.csv", [(UTC, 1.0, 0)], "timestamp,value,label")
+    write_csv(folder / "b.csv", [(UTC, float(i), 1) for i in range(2, 400)], "timestamp,value,label")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = labelled_csv(spark, str(folder)).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["value"] for r in rows] == [float(i) for i in range(1, 400)]
+
+
 def test_own_source_and_unknown_source(spark):
     class Ticks(SourceConfig):
         source_type = "ticks"

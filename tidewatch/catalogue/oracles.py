@@ -316,6 +316,9 @@ _SQL = {
             max((event_type <> gone)::int) as stays
           from e where event_type <> gone or ts >= timestamp '2024-01-15 12:30:00' group by 1)
         select name, observations, observations * stays as after_deletion from c""",
+    "labelled_files": """
+        select row_number() over (order by date_trunc('hour', ts), event_id) - 1 as idx,
+          date_trunc('hour', ts)::timestamp as observed_at, value, event_id % 7 = 0 as label from events""",
     "ingest_file": "select count(*) as observations from events",
     "fit_window": EVENT_FIT + "select event_id, i < kk as is_fit from f",
     "series_ranks": EVENT_FIT + 'select event_id, i as "rank", n from o',

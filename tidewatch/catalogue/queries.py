@@ -61,7 +61,7 @@ from tidewatch.plans.explain import (
 )
 from tidewatch.plans.ingest import batch_content_hash, content_hashes, ingest, ingest_records
 from tidewatch.session import configure, scratch_root, settle
-from tidewatch.sources.labelled import label_by_windows
+from tidewatch.sources.labelled import label_by_windows, labelled_csv
 from tidewatch.sources.messages import offset_ranges, parse_messages, split_messages
 from tidewatch.sources.query import hourly_count, hourly_mean, replay
 from tidewatch.sources.registry import build_source
@@ -262,6 +262,22 @@ def csv_source(spark, sf_dir):
     )
 
 
+@query
+def labelled_files(spark, sf_dir):
+    """Events known by hour only, in several label files whose names follow their ids: ties keep that order."""
+    path = scratch(spark, "labelled-csv")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id"),
+        F.date_trunc("hour", "ts").alias("timestamp"),
+        "value",
+        (F.col("event_id") % 7 == 0).cast("int").alias("label"),
+    )
+    # Part files are named by the range of ids they hold.
+    ordered = rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").drop("event_id")
+    ordered.write.options(header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss").csv(path)
+    return labelled_csv(spark, path)
+
+
 @query
 def parquet_source(spark, sf_dir):
     config = FileSourceConfig(

@@ -155,7 +155,8 @@ def labelled_csv(
 ) -> DataFrame:
     """Benchmark rows ``idx``, ``observed_at``, ``value``, ``label``; rows are numbered by time.
 
-    Rows with the same time keep the order in which they appear in the file.
+    ``path`` may name a folder or several files. Rows with the same time keep the order of the names of
+    their files and, within a file, the order in which they appear there, however the files are read.
     """
     raw = scan_csv(spark, path)
     require_columns(raw, [timestamp_column, value_column, label_column])
@@ -163,8 +164,11 @@ def labelled_csv(
         F.col(timestamp_column).cast("timestamp").alias("observed_at"),
         F.col(value_column).cast("double").alias("value"),
         (F.col(label_column).cast("int") != 0).alias("label"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        # A block is read by one task, from its first row to its last.
         F.monotonically_increasing_id().alias("line"),
         F.lit(0).alias("series"),
     )
-    numbered = ranked(rows, ["series"], ["observed_at", "line"])
+    numbered = ranked(rows, ["series"], ["observed_at", "file", "block", "line"])
     return numbered.select(F.col("rank").alias("idx"), "observed_at", "value", "label")
