@@ -381,3 +381,16 @@ def test_word_encoder_equals_the_library():
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         want = encoder._tokenizer.encode(text, add_special_tokens=False).ids
         assert ids == np.array(want, dtype="<u4").tobytes(), repr(text)
+
+
+def test_closing_moves_pieces_of_the_emptiest_only():
+    packer = packing.Packer(8, 0)
+    for doc_id, n in enumerate([7, 3, 5, 5]):
+        packer.counts[n] += 1
+        packer.open.setdefault(n, []).append([(doc_id, 0, bytes(4 * n), n)])
+    packer.close()
+    placed = [(r[0], r[1], r[2], r[5], r[6]) for r in packer.out]
+    # The fullest gets one token of the emptiest, a five its other two, and the last five is left whole.
+    assert placed[:4] == [(0, 0, 7, 0, 0), (1, 0, 1, 0, 7), (3, 0, 5, 1, 0), (1, 1, 2, 1, 5)]
+    assert placed[4][:3] == (2, 0, 1) and placed[4][3] == 1
+    assert placed[5:] == [(2, 1, 4, 2, 0)]

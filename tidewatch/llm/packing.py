@@ -3,9 +3,9 @@
 Csirik, Johnson, Kenyon, Orlin, Shor and Weber, "On the Sum-of-Squares Algorithm for Bin Packing"
 (2006): an item goes to the fill level after which the sum over levels of the squared number of
 partially filled sequences is smallest. Each task packs the documents it reads, batch by batch, with
-one array of counts by level; nothing is shuffled. At the end of a task the few sequences still open
-are closed without waste: their pieces are cut to fill gaps, and what is left over goes into
-sequences whose lengths are powers of two, which need no padding.
+one array of counts by level; nothing is shuffled. At the end of a task the sequences still open are
+closed without waste: the pieces of the emptiest are cut to fill the gaps of the fullest, which keep
+theirs, and the one left over is cut into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ travels_with_tasks(__name__)
 SEQUENCE = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids a task remembers; beyond it forgets them and starts anew.
-REMEMBERED_WORDS = 200_000
+# Parts between white space, and words, whose ids a worker remembers; beyond it forgets them.
+REMEMBERED_PARTS = 300_000
+REMEMBERED_WORDS = 400_000
 ENCODED_TOGETHER = 512
 TEXTS_TOGETHER = 256
 MEMORY = "packing_memory"
-# Signs from U+0080 to U+00BF that may count as letters, digits or spaces in one library only, and
-# a letter whose lower case is two characters.
-SIGNS = re.compile("[\x1c-\x1f\x80-\xbf\xd7\xf7\u0130]")
+# Signs from U+0080 to U+00BF that may count as letters, digits or spaces in one library only, a
+# letter whose lower case is two characters, and all beyond the Latin letters.
+SIGNS = re.compile("[\x1c-\x1f\x80-\xbf\xd7\xf7\u0130\u0180-\U0010ffff]")
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -53,50 +54,64 @@ class WordEncoder:
 
     The vocabulary's own pre-tokenizer never looks across white space. Texts of Latin letters, which
     its normalizer treats letter by letter, are cut there and the parts looked up; any other text is
-    left to the library whole. New parts of many texts are encoded together as one text, which the
-    mark of a word's last token takes apart again.
+    left to the library whole. A new part is put together from its words. New words of many texts are
+    encoded together as one text, cut at white space only, which the mark of a word's last token takes
+    apart again.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence as Unchanged
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._by_word = Tokenizer.from_file(path)
+        self._by_word.normalizer = Unchanged([])
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._by_word.pre_tokenizer = Sequence([WhitespaceSplit(), letters])
         # Fixed value: the word pattern of the vocabulary file, for Latin letters in lower case.
         self._words = re.compile(
-            "[a-z\xc0-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z\xc0-\u017f0-9]+"
+            "'(?:s|t|re|ve|m|ll|d)|[a-z\xc0-\u017f]+|[0-9]|[^\\sa-z\xc0-\u017f0-9]+"
         ).findall
         vocabulary = self._tokenizer.get_vocab()
         self._closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
+        self._known_words: dict[str, bytes] = {}
 
     @staticmethod
     def _simple(text: str) -> bool:
         """Whether all is ASCII or a Latin letter below U+0180, and no special token can occur."""
-        if "<|" in text:
-            return False
-        return not SIGNS.search(text) and (text.isascii() or max(text) < "ƀ")
+        return "<|" not in text and not SIGNS.search(text)
 
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn_words(self, fresh: list[str]) -> None:
         for i in range(0, len(fresh), ENCODED_TOGETHER):
             some = fresh[i : i + ENCODED_TOGETHER]
-            got = self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            got = self._by_word.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(got[0].ids, dtype="<u4")
             ends = np.flatnonzero(self._closing[ids]) + 1
-            words = np.cumsum([len(self._words(part)) for part in some])
-            if len(ends) != words[-1]:
+            if len(ends) != len(some):
                 raise RuntimeError("words and their tokens do not match")
             packed, start = ids.tobytes(), 0
-            for part, end in zip(some, (4 * ends[words - 1]).tolist(), strict=True):
-                self._known[part] = packed[start:end]
+            for word, end in zip(some, (4 * ends).tolist(), strict=True):
+                self._known_words[word] = packed[start:end]
                 start = end
 
+    def _learn(self, fresh: set[str]) -> None:
+        known = self._known_words
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
+        cut = {part: self._words(part) for part in fresh}
+        self._learn_words(list(set().union(*cut.values()).difference(known)))
+        for part, words in cut.items():
+            self._known[part] = b"".join(map(known.__getitem__, words))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [text.lower().split() if self._simple(text) else None for text in texts]
         known = self._known
-        if len(known) > REMEMBERED_WORDS:
+        if len(known) > REMEMBERED_PARTS:
             known.clear()
-        self._learn(list(set().union(*filter(None, cut)).difference(known)))
+        self._learn(set().union(*filter(None, cut)).difference(known))
         out = []
         for text, words in zip(texts, cut, strict=True):
             if words is None:
@@ -164,30 +179,53 @@ class Packer:
             self.open.setdefault(level + n, []).append(pieces)
 
     def close(self) -> None:
-        """Fill the gaps of the fullest open sequences with the pieces of the emptiest."""
-        left = [pieces for level in sorted(self.open) for pieces in self.open[level]]
-        loose = [piece for pieces in left for piece in pieces]
-        room, bins = self.size, []
-        rest = sum(len(piece[2]) for piece in loose) // 4
-        lengths = [room] * (rest // room)
-        rest %= room
-        lengths += [1 << bit for bit in range(rest.bit_length() - 1, -1, -1) if rest >> bit & 1]
-        loose.reverse()
+        """Fill the gaps of the fullest open sequences with the pieces of the emptiest.
+
+        The fullest keep their pieces. Only those of the emptiest move, cut where a gap is smaller.
+        """
+        levels = [(level, pieces) for level in sorted(self.open) for pieces in self.open[level]]
+        first, last = 0, len(levels) - 1
+        loose: list[tuple] = []
+        while first < last:
+            level, filled = levels[last]
+            last -= 1
+            gap = self.size - level
+            while gap:
+                if not loose:
+                    if first > last:
+                        break
+                    loose = levels[first][1][::-1]
+                    first += 1
+                gap -= self._cut(loose, gap, filled)
+            if gap:
+                loose = filled[::-1]
+                break
+            self._emit(filled)
+        if first == last:
+            # The sequence in the middle, and what is left of the one before it.
+            loose = levels[first][1][::-1] + loose
+        left = sum(len(piece[2]) for piece in loose) // 4
+        lengths = [self.size] * (left // self.size)
+        left %= self.size
+        lengths += [1 << bit for bit in range(left.bit_length() - 1, -1, -1) if left >> bit & 1]
         for length in lengths:
-            pieces = []
+            filled = []
             while length:
-                doc_id, start, ids, total = loose.pop()
-                n = min(length, len(ids) // 4)
-                pieces.append((doc_id, start, ids[: 4 * n], total))
-                if 4 * n < len(ids):
-                    loose.append((doc_id, start + n, ids[4 * n :], total))
-                length -= n
-            bins.append(pieces)
-        for pieces in bins:
-            self._emit(pieces)
+                length -= self._cut(loose, length, filled)
+            self._emit(filled)
         self.open.clear()
         self.counts[:] = 0
 
+    @staticmethod
+    def _cut(loose: list[tuple], gap: int, filled: list[tuple]) -> int:
+        """Move at most ``gap`` tokens of the last loose piece, and say how many."""
+        doc_id, start, ids, total = loose.pop()
+        n = min(gap, len(ids) // 4)
+        filled.append((doc_id, start, ids[: 4 * n], total))
+        if 4 * n < len(ids):
+            loose.append((doc_id, start + n, ids[4 * n :], total))
+        return n
+
     def take(self) -> pa.RecordBatch:
         columns = list(zip(*self.out, strict=True)) if self.out else [[] for _ in range(7)]
         self.out = []
