@@ -8,7 +8,14 @@ from tests.data import labelled_rows, write_csv
 
 from tidewatch.config import BenchmarkConfig, LabelledCsvDataset, SyntheticDataset
 from tidewatch.functions.hashing import gaussian
-from tidewatch.operators.inject import KINDS, baseline_series, inject, select_indices
+from tidewatch.operators.inject import (
+    KINDS,
+    baseline_series,
+    inject,
+    labelled_records,
+    sample_series,
+    select_indices,
+)
 from tidewatch.operators.metrics import (
     classification_counts,
     false_positives_per_hour,
@@ -134,3 +141,22 @@ def test_contextual_anomaly_replaces_an_earlier_drift(spark):
     )
     found = inject(rows, ["s"], 200, ("contextual", "drift"), 7).where("kind = 'contextual'")
     assert found.where("value < 8 or value >= 15").count() == 0
+
+
+@pytest.mark.parametrize("wanted, marked", [(0, 0), (7, 7), (500, 30)])
+def test_samples_have_exactly_as_many_marked_rows(spark, wanted, marked):
+    rows = spark.range(60).select((F.col("id") % 2).alias("s"), F.floor(F.col("id") / 2).alias("idx"))
+    made = {tuple(r) for r in sample_series(rows, ["s"], wanted).select("s", "idx", "value", "spike").collect()}
+    again = sample_series(rows.repartition(3), ["s"], wanted).select("s", "idx", "value", "spike")
+    assert made == {tuple(r) for r in again.collect()}
+    assert [sum(r[3] for r in made if r[0] == s) for s in (0, 1)] == [marked, marked]
+    assert all((r[2] > 40) == r[3] for r in made)
+    records = labelled_records(rows, ["s"], wanted).collect()
+    assert sum(r["label"] for r in records) == 2 * marked
+    assert all((abs(r["value"] - 20) > 10) == r["label"] for r in records)
+
+
+def test_samples_of_long_series(spark, long_series):
+    rows = spark.range(200).select(F.lit("a").alias("s"), F.col("id").alias("idx"))
+    assert labelled_records(rows, ["s"], 60).where("label").count() == 60
+    assert sample_series(rows.limit(0), ["s"], 5).count() == 0

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from tests.data import write_csv
 
@@ -17,7 +18,7 @@ from tidewatch.config import (
 )
 from tidewatch.functions.times import iso_utc, parse_iso
 from tidewatch.operators.inject import retail_sample
-from tidewatch.sources.labelled import label_by_windows, labelled_csv, load_anomaly_windows
+from tidewatch.sources.labelled import label_by_windows, labelled_csv, labelled_source, load_anomaly_windows
 from tidewatch.sources.messages import offset_ranges, parse_messages, split_messages
 from tidewatch.sources.registry import build_source, register_source
 from tidewatch.sources.timeseries import observations, split_invalid
@@ -263,3 +264,15 @@ def test_config_checks():
     ):
         with pytest.raises(ValueError):
             make()
+
+
+def test_labelled_points_are_counted_in_the_same_pass(spark, tmp_path):
+    path = tmp_path / "cpu.csv"
+    path.write_text("timestamp,value\n2024-01-01 00:00:00,1\n2024-01-01 01:00:00,2\n2024-01-01 02:00:00,3\n")
+    listed = {"cpu": [["2024-01-01 00:30:00", "2024-01-01 01:00:00"]]}
+    seen = Observation()
+    read = labelled_source(spark, str(path), "cpu", labels_path=labels(tmp_path, listed), seen=seen)
+    assert read.collect() and seen.get == {"points": 3, "labelled_points": 1}
+    unlabelled = Observation()
+    labelled_source(spark, str(path), "cpu", seen=unlabelled).collect()
+    assert unlabelled.get == {"points": 3, "labelled_points": 0}

@@ -149,6 +149,21 @@ from x left join kinds using (stream, idx) left join ctx using (stream, idx) lef
     )
 
 
+def ranked_draws(purpose: str) -> str:
+    """``x``: events with ``idx`` and their rank ``r`` by the draw for this purpose, per stream."""
+    return f"""with o as (select event_type as stream, event_id,
+        row_number() over (partition by event_type order by ts, event_id) - 1 as idx from events),
+      x as (select *, row_number() over (partition by stream
+        order by {draw("'42'", f"'{purpose}'", "stream", "idx::varchar")}, idx) as r from o)
+"""
+
+
+LABELLED_SERIES = """
+with w as (select min(ts) as first from events where event_type = 'error' group by date_trunc('day', ts)),
+l as (select event_id, ts as observed_at, value,
+        exists (select 1 from w where ts between first and first + interval 1 hour)::int as label from events)
+"""
+
 EVENT_FOREST = EVENT_FIT + "," + scored_ctes("f", "stream", "event_id", ["value", "k"])
 
 # Both neutral values of a flagged event, and the scores with one feature set to its own.
@@ -319,6 +334,9 @@ _SQL = {
     "labelled_files": """
         select row_number() over (order by date_trunc('hour', ts), event_id) - 1 as idx,
           date_trunc('hour', ts)::timestamp as observed_at, value, event_id % 7 = 0 as label from events""",
+    "labelled_series": LABELLED_SERIES + "select event_id, observed_at, value, 'events' as dataset, label from l",
+    "labelled_points": LABELLED_SERIES
+    + "select count(*) as stored, count(*) as points, count(*) filter (where label = 1) as labelled_points from l",
     "ingest_file": "select count(*) as observations from events",
     "fit_window": EVENT_FIT + "select event_id, i < kk as is_fit from f",
     "series_ranks": EVENT_FIT + 'select event_id, i as "rank", n from o',
@@ -445,6 +463,17 @@ _SQL = {
           round(20.0 + sin(idx / 25.0) + {normal("'42'", "stream", "idx::varchar")} * 0.5, 6) as baseline,
           round(20.0 + (idx % 50) * 0.1::double + {normal("'42'", "stream", "idx::varchar")} * 0.2::double, 6) as sample
         from x""",
+    "sample_spikes": ranked_draws("spike")
+    + f"""select event_id, timestamp '2024-01-01 00:00:00' + to_seconds(idx * 60) as observed_at, r <= 20 as spike,
+          round(20.0 + (idx % 50) * 0.1::double + {normal("'42'", "stream", "idx::varchar")} * 0.2::double
+            + case when r <= 20 then 30.0 + 20.0 * {draw("'42'", "'height'", "stream", "idx::varchar")} else 0.0 end, 6)
+            as value from x""",
+    "labelled_sample": ranked_draws("label")
+    + f"""select event_id, r <= 30 as label,
+          round(20.0 + {normal("'42'", "stream", "idx::varchar")} * 0.5 + case when r > 30 then 0.0
+            when {draw("'42'", "'sign'", "stream", "idx::varchar")} < 0.5
+            then -(20.0 + 20.0 * {draw("'42'", "'point'", "stream", "idx::varchar")})
+            else 20.0 + 20.0 * {draw("'42'", "'point'", "stream", "idx::varchar")} end, 6) as value from x""",
     "injection_places": INJECT + "done as (select 1) select stream, idx from chosen",
     "inject_point": inject_sql("'point'"),
     "inject_contextual": inject_sql("'contextual'"),

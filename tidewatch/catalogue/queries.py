@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,9 @@ from tidewatch.operators.forest import ForestDetector
 from tidewatch.operators.inject import (
     baseline_value,
     inject,
+    labelled_records,
     retail_sample,
+    sample_series,
     sample_value,
     select_indices,
 )
@@ -61,7 +63,7 @@ from tidewatch.plans.explain import (
 )
 from tidewatch.plans.ingest import batch_content_hash, content_hashes, ingest, ingest_records
 from tidewatch.session import configure, scratch_root, settle
-from tidewatch.sources.labelled import label_by_windows, labelled_csv
+from tidewatch.sources.labelled import label_by_windows, labelled_csv, labelled_source
 from tidewatch.sources.messages import offset_ranges, parse_messages, split_messages
 from tidewatch.sources.query import hourly_count, hourly_mean, replay
 from tidewatch.sources.registry import build_source
@@ -278,6 +280,44 @@ def labelled_files(spark, sf_dir):
     return labelled_csv(spark, path)
 
 
+def _labelled_series(spark: SparkSession, sf_dir: str, seen: Observation | None = None) -> DataFrame:
+    """The events as a CSV series, and a label file with an hour from the first error of each day on."""
+    path, labels = scratch(spark, "series-csv"), scratch(spark, "windows-json")
+    rows = events(spark, sf_dir).select("event_id", F.col("ts").cast("string").alias("timestamp"), "value")
+    rows.write.option("header", True).csv(path)
+    errors = events(spark, sf_dir).where("stream = 'error'").groupBy(F.to_date("ts")).agg(F.min("ts").alias("ts"))
+    ends = F.array(*[(F.col("ts") + F.expr(f"interval {h} hours")).cast("string") for h in (0, 1)])
+    # Besides the windows, one per day: an entry that is no pair, and another data set's windows.
+    windows = F.array_append(F.sort_array(F.collect_list(ends)), F.array(F.lit("2024-01-15 00:00:00")))
+    listed = F.create_map(
+        F.lit("realKnownCause/events.csv"), windows,
+        F.lit("other"), F.array(F.array(F.lit("1990-01-01"), F.lit("2100-01-01"))),
+    )
+    errors.agg(F.to_json(listed)).write.text(labels)
+    return labelled_source(spark, path, "events", labels_path=labels, seen=seen)
+
+
+@query
+def labelled_series(spark, sf_dir):
+    """Rows of a CSV series with the labels of a label file."""
+    read = _labelled_series(spark, sf_dir)
+    field = lambda name, kind: F.get_json_object("payload", f"$.{name}").cast(kind).alias(name)
+    return read.select(
+        field("event_id", "bigint"), "observed_at", "value", field("dataset", "string"), field("label", "int")
+    )
+
+
+@query
+def labelled_points(spark, sf_dir):
+    """Points and labelled points, counted by the job that stores the series, next to what it stored."""
+    seen = Observation()
+    stored = settle(_labelled_series(spark, sf_dir, seen))
+    points, labelled = seen.get["points"], seen.get["labelled_points"]
+    return stored.agg(F.count(F.lit(1)).alias("stored")).select(
+        "stored", F.lit(points).cast("bigint").alias("points"), F.lit(labelled).cast("bigint").alias("labelled_points")
+    )
+
+
 @query
 def parquet_source(spark, sf_dir):
     config = FileSourceConfig(
@@ -1074,6 +1114,20 @@ def baseline_values(spark, sf_dir):
     )
 
 
+@query
+def sample_spikes(spark, sf_dir):
+    """Sample series with spikes, as long as the series of events."""
+    made = sample_series(_indexed(spark, sf_dir).drop("value"), ["stream"], 20)
+    return made.select("event_id", "observed_at", F.round("value", 6).alias("value"), "spike")
+
+
+@query
+def labelled_sample(spark, sf_dir):
+    """Labelled records, as many per stream as there are events."""
+    made = labelled_records(_indexed(spark, sf_dir).drop("value"), ["stream"], 30)
+    return made.select("event_id", F.round("value", 6).alias("value"), "label")
+
+
 @query
 def injection_places(spark, sf_dir):
     return select_indices(_indexed(spark, sf_dir), ["stream"], 50, 43)

@@ -70,8 +70,13 @@ def select_indices(
     drawn = rows.where(fits & in_pool(F.col("idx"), F.col("n"))).select(
         *keys, "idx", uniform(seed, "pick", *[F.col(k) for k in keys], F.col("idx")).alias("pick")
     )
+    return _smallest_draws(drawn, keys, n_anomalies)
+
+
+def _smallest_draws(drawn: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
+    """``idx`` of the rows of each series with the ``count`` smallest draws ``pick``."""
     pools = settle(drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    last = F.lit(n_anomalies) - 1
+    last = F.least(F.lit(count), F.col("n")) - 1
     cutoffs = order_statistics(drawn, keys, ["pick", "idx"], rank_targets(pools, keys, {"cut": last}))
     cutoffs = cutoffs.select(*keys, F.struct("pick", "idx").alias("cutoff"))
     return (
@@ -81,6 +86,53 @@ def select_indices(
     )
 
 
+def mark_rows(
+    rows: DataFrame, keys: Sequence[str], count: int, seed: int, purpose: str, mark: str
+) -> DataFrame:
+    """Add the boolean ``mark``, true for exactly ``count`` rows of each series, drawn from all of them.
+
+    ``rows`` has the keys and ``idx``. In a series with fewer rows all are marked.
+    """
+    if count <= 0:
+        return rows.withColumn(mark, F.lit(False))
+    keys = list(keys)
+    pick = uniform(seed, purpose, *[F.col(k) for k in keys], F.col("idx")).alias("pick")
+    drawn = rows.select(*keys, "idx", pick)
+    marked = settle(_smallest_draws(drawn, keys, count)).withColumn(mark, F.lit(True))
+    return rows.join(marked, [*keys, "idx"], "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
+def sample_series(
+    rows: DataFrame, keys: Sequence[str], n_spikes: int, seed: int = 42, interval_seconds: int = 60
+) -> DataFrame:
+    """Sample series of any length: add ``observed_at``, ``value`` and ``spike``.
+
+    A saw tooth with jitter, one reading each interval from the start of 2024, and exactly ``n_spikes``
+    readings per series that lie 30 to 50 higher. ``rows`` has the keys and ``idx`` (0-based).
+    """
+    ids = [F.col(k) for k in [*keys, "idx"]]
+    marked = mark_rows(rows, keys, n_spikes, seed, "spike", "spike")
+    height = F.when(F.col("spike"), uniform_between(30, 50, seed, "height", *ids)).otherwise(F.lit(0.0))
+    value = sample_value(F.col("idx"), seed, *ids[:-1]) + height
+    start = F.unix_micros(F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"))
+    moment = F.timestamp_micros(start + F.col("idx") * F.lit(interval_seconds * 1_000_000))
+    return marked.withColumns({"observed_at": moment, "value": value})
+
+
+def labelled_records(rows: DataFrame, keys: Sequence[str], n_anomalies: int, seed: int = 42) -> DataFrame:
+    """Records to test detectors with: add ``value`` and ``label``.
+
+    Values are normal around 20 with deviation 0.5; exactly ``n_anomalies`` per series are moved up or
+    down by 20 to 40 and labelled. ``rows`` has the keys and ``idx`` (0-based).
+    """
+    ids = [F.col(k) for k in [*keys, "idx"]]
+    marked = mark_rows(rows, keys, n_anomalies, seed, "label", "label")
+    usual = F.lit(20.0) + gaussian(seed, *ids) * F.lit(0.5)
+    return marked.withColumn(
+        "value", F.when(F.col("label"), point_value(usual, seed, *ids)).otherwise(usual)
+    )
+
+
 def choose_kind(kinds: Sequence[str], seed: int, *ids: Column) -> Column:
     slot = F.floor(uniform(seed, "kind", *ids) * len(kinds)) + 1
     return F.element_at(F.array(*[F.lit(k) for k in kinds]), slot.cast("int"))

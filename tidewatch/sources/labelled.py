@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,8 +131,13 @@ def labelled_source(
     value_column: str = "value",
     labels_path: str | None = None,
     labels_key: str | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
-    """A CSV series whose payload also has ``dataset`` and the point ``label``."""
+    """A CSV series whose payload also has ``dataset`` and the point ``label``.
+
+    ``seen`` is told ``points`` and ``labelled_points`` by the first job that reads all rows, in the same
+    pass.
+    """
     raw = scan_csv(spark, path)
     conformed = validate_not_null(
         conform_timeseries(raw, timestamp_column, value_column), timestamp_column, value_column
@@ -143,6 +148,12 @@ def labelled_source(
     labelled = label_by_windows(
         named, windows.withColumn("dataset", F.lit(dataset_name)), timestamp_column, ["dataset"]
     )
+    if seen is not None:
+        labelled = labelled.observe(
+            seen,
+            F.count(F.lit(1)).alias("points"),
+            F.count_if(F.col("label") == 1).alias("labelled_points"),
+        )
     return observations(labelled, timestamp_column, value_column)
 
 
