@@ -225,7 +225,7 @@ def test_own_detector(labelled):
     alerts = alerts.withColumn("observed_at", F.timestamp_seconds("idx"))
     explained = explain_alerts(alerts, series, both, result.models, [0.5, 0.5])
     part = explained.first()["explanation"]["detectors"][1]
-    assert part["detector"] == "range" and part["summary"].startswith("range score=")
+    assert part["detector"] == "range" and part["summary"].startswith("range scores ")
     assert part["contributions"] == {} and len(part["rules"]) == 1
 
 

@@ -147,7 +147,7 @@ def test_alert_reports(store, sample):
     one = newest.first()["alert_id"]
     detail = reports.alert_detail(store.alerts(), store.streams(), store.observations(), one)
     row = detail.first()
-    assert row["summary"].startswith("Ensemble alert (score=")
+    assert row["summary"].startswith("Together the detectors score ")
     assert {d["detector"] for d in row["detectors"]} == {"mad", "isolation_forest"}
     assert len(row["rules"]) == 1 + 4 + 3
     assert any("median" in rule for rule in row["rules"])
@@ -177,7 +177,7 @@ def test_a_score_below_its_threshold_is_not_called_an_excess(store, sample):
     last = [(r["d"]["details"], r["d"]["rules"][-1]) for r in alerts.collect()]
     over = [float(d["robust_z"]) > float(d["threshold"]) for d, _ in last]
     assert True in over and False in over
-    assert all(("did not exceed" in rule) != above for above, (_, rule) in zip(over, last, strict=True))
+    assert all(("is within" in rule) != above for above, (_, rule) in zip(over, last, strict=True))
 
 
 def test_own_detector_names_reach_the_explanation(store, sample):

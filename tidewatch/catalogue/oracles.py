@@ -158,6 +158,24 @@ def ranked_draws(purpose: str) -> str:
 """
 
 
+def fixed(number: str, digits: int) -> str:
+    """A number as text with so many decimals, halves away from zero."""
+    return f"cast(cast(cast({number} as varchar) as decimal(38, 20)) as decimal(38, {digits}))::varchar"
+
+
+def mad_texts(column: str, tag: str) -> str:
+    """Summary and rules of a median detector over ``column`` as a list."""
+    z, limit = fixed(f"z_{tag}", 2), fixed(f"thr_{tag}", 2)
+    value, median = fixed(column, 2), fixed(f"m_{tag}", 2)
+    return f"""[{value} || ' lies ' || case when {column} >= m_{tag} then 'above' else 'below' end || ' the usual '
+        || {median} || ': robust z-score ' || {z} || ', allowed are ' || {limit} || '.',
+      'The fit window has the median ' || {median},
+      'Half of its values lie within ' || {fixed(f"d_{tag}", 4)} || ' of it',
+      'At ' || {value} || ', {column} is ' || {z} || ' times 1.4826 such distances away',
+      'A z-score of ' || {z} || case when z_{tag} > thr_{tag} then ' is over' else ' is within' end
+        || ' the limit of ' || {limit}]"""
+
+
 LABELLED_SERIES = """
 with w as (select min(ts) as first from events where event_type = 'error' group by date_trunc('day', ts)),
 l as (select event_id, ts as observed_at, value,
@@ -434,6 +452,17 @@ _SQL = {
     "notifications": EVENT_ENSEMBLE
     + f"""select event_id::varchar as alert_id, stream, value, 'ensemble' as detector, {ISO} as observed_at
         from e where flag""",
+    "alert_texts": EVENT_ENSEMBLE
+    + f""", x as (select e.*, s.med as m_v, s.mad as d_v, t.med as m_k, t.mad as d_k
+          from e join p_v s using (stream) join p_k t using (stream) where flag),
+        y as (select *, {mad_texts("value", "v")} as texts_v, {mad_texts("k", "k")} as texts_k from x),
+        z as (select *, 'Together the detectors score ' || {fixed("combined", 3)} || ' where ' || {fixed("ethr", 3)}
+            || ' is allowed. First of all: ' || case when z_v >= z_k then texts_v[1] else texts_k[1] end as summary from y)
+        select event_id::varchar as alert_id, summary,
+          'The combined score ' || {fixed("combined", 3)} || ' is over the limit of ' || {fixed("ethr", 3)} || chr(10)
+            || array_to_string(texts_v[2:] || texts_k[2:], chr(10)) as rules,
+          ':rotating_light: *Anomaly alert* — `' || stream || '`' || chr(10) || '*Score*: `' || {{score}}
+            || '` at `' || {ISO} || '`' || chr(10) || summary as text from z""".replace("{score}", "combined::varchar"),
     "alerts_per_run": EVENT_ENSEMBLE
     + "select stream as run_id, count(*) filter (where flag) as alerts from e group by 1",
     "observation_counts": "select event_type as stream_id, count(*) as observations from events group by 1",

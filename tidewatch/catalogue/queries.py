@@ -1029,6 +1029,17 @@ def notifications(spark, sf_dir):
     )
 
 
+@query
+def alert_texts(spark, sf_dir):
+    """Every text of an alert, whole: its summary, its rules and the chat message."""
+    details = reports.alert_detail(
+        event_alerts(spark, sf_dir), event_streams(spark, sf_dir), event_observations(spark, sf_dir)
+    )
+    seen = reports.alert_explanations(details)
+    message = reports.chat_message(reports.notification_payload(details))
+    return seen.select("alert_id", "summary", F.array_join("rules", "\n").alias("rules")).join(message, "alert_id")
+
+
 @query
 def alerts_per_run(spark, sf_dir):
     """Alert counts per run; runs are named after their stream here."""
