@@ -263,3 +263,18 @@ def test_ambiguous_keys_have_forests_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(forest_module, "BROADCAST_SERIES", 0)
     joined = {r["id"]: r["score__isolation_forest"] for r in detector.score(series, model).collect()}
     assert shipped == joined
+
+
+def test_long_series_replace_an_incoming_n(spark, labelled, monkeypatch):
+    """Rows that already carry ``n`` (as ranked events do) are fitted and scored on the long path too."""
+    from tidewatch.operators import order_stats
+
+    rows = labelled.withColumn("n", F.lit(12345).cast("bigint"))
+    want = sorted(fit_split(rows, ["series"], ["idx"]).rows.select("idx", "n", "is_fit").collect())
+    monkeypatch.setattr(order_stats, "SORTABLE_ROWS", 100)
+    series = fit_split(rows, ["series"], ["idx"])
+    assert not series.compact
+    assert sorted(series.rows.select("idx", "n", "is_fit").collect()) == want
+    weights = [item.weight for item in DEFAULT_DETECT.detectors]
+    scored = score_ensemble(series, detectors(), weights, DEFAULT_DETECT.percentile)
+    assert scored.rows.count() == rows.count()

@@ -130,7 +130,8 @@ def whole_series(df: DataFrame, keys: Sequence[str]) -> Series:
         rows = df.withColumn("n", n).withColumn("is_fit", F.lit(True))
         return Series(rows, tuple(keys), (), count, largest or 0)
     sizes = settle(sizes)
-    rows = df.join(sizes, list(keys)).withColumn("is_fit", F.lit(True))
+    # ``n`` is replaced, as in the compact case.
+    rows = df.drop("n").join(sizes, list(keys)).withColumn("is_fit", F.lit(True))
     return Series(rows, tuple(keys), (), count, largest)
 
 
@@ -193,5 +194,6 @@ def fit_split(
     edges = order_statistics(df, keys, order, targets, largest, sortable_rows)
     edges = edges.select(*keys, here.alias("edge"))
     edges = settle(edges.join(sizes.select(*keys, fitted.alias("n")), keys))
-    rows = df.join(edges, keys).withColumn("is_fit", here < F.col("edge")).drop("edge")
+    # ``n`` becomes the fit rows, as in the compact case: a column ``n`` of ``df`` is replaced.
+    rows = df.drop("n").join(edges, keys).withColumn("is_fit", here < F.col("edge")).drop("edge")
     return Series(rows, *shape, sortable_rows)
