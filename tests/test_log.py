@@ -145,3 +145,27 @@ def test_a_store_without_anything(store):
     store.purge()
     assert store.runs().count() == store.alerts().count() == store.streams().count() == 0
     assert store.observations().count() == store.scores().count() == 0
+
+
+def test_purge_spreads_a_large_batch_over_tasks(spark, store):
+    """The rows kept of one batch are rewritten by the tasks that hold them, not gathered in one."""
+    names = ["a", "b", "c", "d", "e", "f", "g", "h"]
+    # Partitions stay as they are, as those of a large batch would.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.upsert_streams(spark.createDataFrame([(n,) for n in names], "name string"), "csv_batch", {})
+        store.append_observations(_union([observed(spark, name, 50) for name in names]), "all")
+        store.delete_stream("a")
+        store.purge(grace_seconds=-60)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = store._stored("observations")
+    assert stored.count() == store.observations().count() == 350
+    assert stored.select(F.input_file_name()).distinct().count() > 1
+
+
+def _union(frames):
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out

@@ -287,8 +287,9 @@ class TableStore:
                              ["batch_id", "stream_id"], "left_anti")
             touched = settle(dead.select("batch_id").distinct())
             kept = settle(self.live(rows.join(touched, "batch_id", "left_semi")))
+            # Every task writes its own files of each batch: a large batch is not gathered in one task.
             (
-                kept.repartition("batch_id").write.mode("overwrite").partitionBy("batch_id")
+                kept.write.mode("overwrite").partitionBy("batch_id")
                 .option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
             )
             # Only names of folders pass here, a few at a time.
