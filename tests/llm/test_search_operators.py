@@ -7,10 +7,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import collocations, ranking, url_rules
+from tidewatch.session import settle
 
 DOCS = "doc_id long, text string, lang string, rank int, score string, fan string, shard int"
 
@@ -91,6 +93,39 @@ def test_ranking_in_blocks_and_of_nothing(spark, monkeypatch):
     assert ranking.search(index, items.where("false")).count() == 0
 
 
+def test_ranking_writes_segments_as_they_gather(spark, small_windows, monkeypatch):
+    monkeypatch.setattr(ranking, "GROUP_BYTES", 1 << 10)
+    index = ranking.build_index(frame(spark, some_docs(3, 150), 1))
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in index.inputFiles()]
+    groups = [f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)]
+    assert sum(groups) == index.count() >= 10
+    assert max(groups) <= 2
+
+
+def test_ranking_holds_one_segment_at_a_time(spark, small_windows, monkeypatch):
+    class Alone(ranking.SegmentSearch):
+        def __init__(self, segment, *rest) -> None:
+            # The lists of a later row of a batch begin where those of the rows before end.
+            assert all(values.offset == 0 for values in segment.values()), "segments came together"
+            super().__init__(segment, *rest)
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    index = ranking.build_index(frame(spark, some_docs(4, 150), 1))
+    files, usual, decoded = set(index.inputFiles()), spark.conf.get(key), []
+
+    def settled(df, **options):
+        if files & set(df.inputFiles()):
+            decoded.append(spark.conf.get(key))
+        return settle(df, **options)
+
+    monkeypatch.setattr(ranking, "SegmentSearch", Alone)
+    monkeypatch.setattr(ranking, "settle", settled)
+    items = spark.createDataFrame([(0, "w0 w1"), (1, "w2")], "item_id long, text string")
+    assert ranking.search(index, items, 5).count() == 10
+    assert decoded == ["1", "1"]
+    assert spark.conf.get(key) == usual
+
+
 def phrases_by_definition(docs: list[tuple], at_least: int) -> tuple[dict, Counter]:
     f, words = defaultdict(Counter), Counter()
     for _, text, lang in docs:

@@ -22,11 +22,14 @@ def travels_with_tasks(module: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """While tables of long rows are read by Python: fewer of them at a time."""
+def small_batches(spark: SparkSession, size: str = "8m", rows: int = 4) -> Iterator[None]:
+    """While tables of long rows are read by Python: fewer of them at a time.
+
+    ``rows`` are decoded together; a batch for Python closes with the row that brings it to ``size``.
+    """
     wanted = {
         "spark.sql.execution.arrow.maxBytesPerBatch": size,
-        "spark.sql.parquet.columnarReaderBatchSize": "4",
+        "spark.sql.parquet.columnarReaderBatchSize": str(rows),
     }
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import string
 from collections.abc import Iterator
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table, travels_with_tasks
+from tidewatch.llm.common import small_batches, table, travels_with_tasks
 from tidewatch.session import configure, settle
 
 travels_with_tasks(__name__)
@@ -30,6 +31,8 @@ BEST = 50
 SEGMENT_BYTES = 8 << 20
 SEGMENT_DOCS = 1 << 14
 SLICE_BYTES = 1 << 20
+# A task writes out the segments it has made at so many bytes, whatever it reads.
+GROUP_BYTES = 16 << 20
 # Lists in at least this share of a segment's documents are long.
 LONG_SHARE = 1 / 8
 WINDOW = 512
@@ -127,7 +130,11 @@ def _one_list(values, kind: pa.DataType) -> pa.Array:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Segments of an inverted index over all ``doc_id``, ``text`` rows, as a settled table."""
+    """Segments of an inverted index over all ``doc_id``, ``text`` rows, as a settled table.
+
+    Parquet asks for the size of what it holds after 100 rows, and a row here has megabytes: so it is
+    told to ask after each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = SegmentBuilder()
@@ -141,7 +148,9 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield segment.build()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return settle(rows.mapInArrow(run, SEGMENT))
+    layout = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1"}
+    with small_batches(docs.sparkSession):
+        return settle(rows.mapInArrow(run, SEGMENT), **layout)
 
 
 def query_terms(items: DataFrame) -> DataFrame:
@@ -254,6 +263,11 @@ class Best:
             self.least = -self.rows[-1][0]
 
 
+def _segment_by_segment(spark: SparkSession) -> AbstractContextManager[None]:
+    """Tasks hold one segment at a time, however many a file has."""
+    return small_batches(spark, size="1", rows=1)
+
+
 def search(index: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     """The ``best`` documents of an index for every row of ``item_id, text``.
 
@@ -264,7 +278,9 @@ def search(index: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     spark = index.sparkSession
     size = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n, total = size[0] or 0, size[1] or 0
-    asked = weighted(index, query_terms(items), n)
+    asked = query_terms(items)
+    with _segment_by_segment(spark):
+        asked = weighted(index, asked, n)
     lengths = asked.groupBy("query").agg(F.count("*").alias("length"))
     before = F.sum("length").over(Window.orderBy("query")) - F.col("length")
     blocks = settle(lengths.select("query", F.floor(before / TERMS_TOGETHER).alias("block")))
@@ -272,7 +288,9 @@ def search(index: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     found = None
     for number in range(0 if last is None else int(last) + 1):
         block = asked.join(blocks.where(F.col("block") == number), "query").drop("block")
-        answered = settle(_search_block(index, block, n, total, best))
+        answers = _search_block(index, block, n, total, best)
+        with _segment_by_segment(spark):
+            answered = settle(answers)
         found = answered if found is None else found.union(answered)
     if found is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")

@@ -49,16 +49,17 @@ def _settled_root(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/settled/{spark.sparkContext.applicationId}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table.
 
     This cuts lineage so that a lost executor costs one file read, not the whole job again. It also
     gives the optimizer the true size on disk, so a join with a settled table is broadcast only
-    while that size is below ``spark.sql.autoBroadcastJoinThreshold``.
+    while that size is below ``spark.sql.autoBroadcastJoinThreshold``. ``options``
+    go to the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{_settled_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     settled = spark.read.schema(df.schema).parquet(path)
     settled._settled_at = path
     return settled
